@@ -19,8 +19,9 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from evidentia.llm.common import map_text, materialize
+from evidentia.llm.common import materialize
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,11 +94,11 @@ def frequencies(documents: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
     return {bytes(r["w"]): r["n"] for r in rows}
 
 
-def hit_words(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (maximal runs of hit words: start, end) and items (whose windows occur, sorted as
-    strings) of every document."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select("doc_id", F.col("text").cast("binary").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+def hit_words(documents: DataFrame, benchmark: DataFrame, width: int = 10, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns of every document, with _words (their number), _spans (maximal runs of hit words: start,
+    end) and _items (whose windows occur, sorted as strings)."""
+    out = documents.select(*carry, F.col("text").cast("binary").alias("_text"), F.array().cast("array<struct<start:int,end:int>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    done = documents.select(*carry).schema.add("_words", LongType())
     parts = blocks_of(benchmark)
     for k, part in enumerate(parts):
         items = [(r["item"], bytes(r["text"])) for r in part.collect()]
@@ -106,20 +107,23 @@ def hit_words(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
         shared = documents.sparkSession.sparkContext.broadcast(probe)
         last = k == len(parts) - 1
 
-        def run(b: pa.RecordBatch, shared=shared, last=last) -> pa.RecordBatch:
-            probe = shared.value
-            texts = b.column(1).to_pylist()
-            counts, spans, found = [], [], []
-            for text, old, names in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words = words_of(text)
-                hits = probe.hits(words)
-                counts.append(len(words))
-                spans.append(merged([(s["start"], s["end"]) for s in old] + [(lo, hi) for lo, hi, _ in hits]))
-                found.append(sorted(set(names).union(*(probe.items[key] for key in {key for _, _, key in hits}))))
-            cols = [b.column(0), pa.array(counts, pa.int64())] if last else [b.column(0), b.column(1)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words" if last else "text", "spans", "items"])
-
-        out = map_text(out, ["doc_id", "text", "spans", "items"], run, f"doc_id {kind}, {'n_words bigint' if last else 'text binary'}, spans array<struct<start:int,end:int>>, items array<string>")
+        def run(batches, shared=shared, last=last):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                probe = shared.value
+                counts, spans, found = [], [], []
+                for text, old, names in zip(*(b.column(c).to_pylist() for c in ("_text", "_spans", "_items")), strict=True):
+                    words = words_of(text)
+                    hits = probe.hits(words)
+                    counts.append(len(words))
+                    spans.append(merged([(s["start"], s["end"]) for s in old] + [(lo, hi) for lo, hi, _ in hits]))
+                    found.append(sorted(set(names).union(*(probe.items[key] for key in {key for _, _, key in hits}))))
+                own = [pa.array(counts, pa.int64())] if last else [b.column("_text")]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *own, pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], names=[*carry, "_words" if last else "_text", "_spans", "_items"])
+
+        schema = type(out.schema)((done if last else out.schema).fields[: len(carry) + 1] + out.schema.fields[-2:])
+        out = out.mapInArrow(run, schema)
         if not last:
             out = materialize(out, "decontaminate")
     return out
@@ -141,13 +145,18 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The digest of hit_words: counts, the items' hash, and whether any word is hit."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"]))
+    n_hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"]))
     return hit_words(documents, benchmark, width).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        "doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
     )
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The documents without any hit word, unchanged."""
+    return hit_words(documents, benchmark, width, tuple(documents.columns)).filter(F.size("_spans") == 0).select(*documents.columns)
+
+
 def brute_force(documents: list[tuple], items: list[tuple], width: int = 10) -> list[tuple]:
     """The same digest for small inputs, without any filter."""
     wins = [(str(i), w) for i, t in items if t is not None and i is not None for w in windows_of(words_of(t.encode()), width)]

@@ -49,14 +49,14 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every whole text."""
+    """doc_id, th (a hash of the text) and fp, the fingerprint as a signed long, of every whole text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["doc_id", "fp"])
+        got = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got)], names=["doc_id", "th", "fp"])
 
-    return map_text(documents.select("doc_id", F.col("text").cast("binary").alias("text")), ["doc_id", "text"], run, f"doc_id {kind}, fp bigint")
+    return map_text(documents.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")), ["doc_id", "th", "text"], run, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def links(values: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,13 +168,28 @@ def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.select("key", "fp", "tile").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach."""
+def classes(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, th, fp and component_id, the smallest doc_id that links reach, of every document."""
     docs = materialize(fingerprints(documents, width), "fingerprints")
-    classes = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(linked(classes.select("fp"), radius))
+    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(linked(distinct.select("fp"), radius))
     # One row for each distinct fingerprint that has a link; the others keep their own smallest doc_id.
-    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     members = joined.join(lowest, "root").select(F.col("fp").alias("class"), "component_id")
-    return docs.join(members, F.col("fp") == F.col("class"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(members, F.col("fp") == F.col("class"), "left").select("doc_id", "th", "fp", "component_id")
+
+
+def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    return classes(documents, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One document of each group, unchanged: that of the smallest doc_id. Documents without an id stay only where
+    their group has none with one, one for each fingerprint."""
+    found = classes(documents, width, radius).withColumn("loose", F.when(F.col("component_id").isNull(), F.col("fp")))
+    chosen = found.groupBy("component_id", "loose").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h"))
+    keyed = documents.withColumn("_th", F.xxhash64("text"))
+    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")

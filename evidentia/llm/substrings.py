@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 from xxhash import xxh3_64_intdigest
 
 from evidentia.llm.common import map_text, materialize
@@ -273,28 +274,44 @@ def repeated_spans(documents: DataFrame, least: int, keep_first: bool) -> tuple[
     return docs, spans.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes as text, of every document."""
+def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes as text, of every
+    document."""
     if min_bytes < 2 * ANCHOR:
         raise ValueError(f"min_bytes must be at least {2 * ANCHOR}")
     docs, spans = repeated_spans(documents, min_bytes, keep_first)
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    if carry != ("doc_id",):
+        docs = documents.select(*carry, F.xxhash64("text").alias("th"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for data, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            gone = merged([(s["lo"], s["hi"]) for s in found or ()])
-            if gone:
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for data, found in zip(b.column("data").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                gone = merged([(s["lo"], s["hi"]) for s in found or ()])
                 edges = [0, *(x for s in gone for x in s), len(data)]
-                kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-            else:
-                kept = data
-            out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        n, removed, k, sha, kept = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(k, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left")
-    return map_text(joined, ["doc_id", "data", "spans"], run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+                kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else data
+                out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            n, removed, k, sha, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(k, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left")
+    schema = documents.select(*carry).schema
+    for name, kind in (("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", StringType())):
+        schema = schema.add(name, kind)
+    return joined.select(*carry, "data", "spans").mapInArrow(run, schema)
+
+
+def rewrite(documents: DataFrame, min_bytes: int = 400) -> DataFrame:
+    """The documents without later copies of long strings; n_chars follows the text. Documents that lose all their
+    words go, the others stay."""
+    out = remove_repeats(documents, min_bytes, True, tuple(documents.columns)).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns])
 
 
 def brute_force(rows: list[tuple], least: int, keep_first: bool = False) -> list[tuple]:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidentia.llm.common import held_out, labelled_sample, map_text
 from evidentia.llm.rules import let
@@ -245,16 +246,23 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
-    return scored(documents, fit(documents, labels, max_toxic, max_clean)).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(documents.select("doc_id", "text"), fit(documents, labels, max_toxic, max_clean)).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents' own columns and toxicity, the model's score of the whole text."""
+def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The documents' own columns and, under the given name, the model's score of the whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1).to_pylist()))], names=["doc_id", "score"]) if b.num_columns == 2 else pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column(at).to_pylist()))], names=[*b.schema.names, "score"])
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column(at).to_pylist()), pa.float64())], names=[*b.schema.names, name])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_text(documents, ["doc_id", "text"], run, f"doc_id {kind}, score double")
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score stays below the threshold, unchanged."""
+    name = "_toxicity"
+    return scored(documents, fit(documents, labels), name).filter(F.col(name) < threshold).drop(name)
