@@ -118,49 +118,56 @@ def longest_previous_factor(data: bytes) -> np.ndarray:
     return out
 
 
-def repeats(texts: list[bytes], least: int, groups: list[int] | None = None, centres: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over texts laid end to end: where each starts; for each position, whether the least bytes there (inside its
-    text) also start earlier, and whether they also start anywhere else.
-
-    In suffix order, positions that share least bytes stand in one run. A position has a smaller one before or after
-    it inside the run, and so a previous factor of that length, exactly if it isn't the run's smallest.
-
-    With groups and centres, only positions of the same group and the same distance from their text's centre count as
-    copies: contexts of neighbouring anchors show the same bytes of a document twice, which repeats nothing."""
-    size = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(size) - size
-    n = int(size.sum())
-    room = np.repeat(starts + size, size) - np.arange(n)  # bytes up to the text's end
-    earlier, other = np.zeros(n, bool), np.zeros(n, bool)
-    span = 8 if least >= 8 else least
-    padded = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
-    rank = np.zeros(n, np.uint64)
-    for k in range(span):
-        rank = (rank << np.uint64(8)) | padded[k : n + k]
-    live = np.flatnonzero(room >= least)
-    while True:
-        # Only positions whose rank another one shares can still turn out equal.
-        usable = np.flatnonzero(room >= span)
-        _, inverse = np.unique(rank[usable], return_inverse=True)
-        dense = np.zeros(n, np.uint64)
-        dense[usable] = inverse.astype(np.uint64)
-        if span == least:
-            break
-        step = min(span, least - span)
-        ok = np.flatnonzero(room >= span + step)
-        rank = np.zeros(n, np.uint64)
-        rank[ok] = (dense[ok] << np.uint64(32)) | dense[ok + step]
-        span += step
-    tag = np.zeros(n, np.int64)
-    if groups is not None:
-        tag = np.repeat(np.array(groups, np.int64) * (4 * least) + 2 * least - np.array(centres, np.int64) - starts, size) + np.arange(n)
-    # Suffix order up to least bytes, equal ones by position: runs of equal rank.
-    order = live[np.lexsort((tag[live], dense[live]))]
-    if len(order):
-        head = np.r_[True, (dense[order][1:] != dense[order][:-1]) | (tag[order][1:] != tag[order][:-1])]
-        earlier[order] = ~head
-        other[order] = ~(head & np.r_[head[1:], True])
-    return starts, earlier, other
+def repeats(bodies: list[bytes], least: int, groups: list[int], centres: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts of anchors, sorted by group and then in text order, each with its anchor's place in it: whether
+    the least bytes from each distance to the anchor (row 0: least - ANCHOR before it) also stand in an earlier
+    context of the group, and whether in any other.
+
+    Equal strings share an anchor, so it is enough to compare the suffixes that start at one distance from it. Going
+    from the contexts' ends to their starts, each column's suffix order follows from the next one's by a stable sort
+    on one byte, and the common prefixes of neighbours from minima of the old ones. Neighbours that share least bytes
+    form runs; a suffix has a previous or next smaller text position inside its run, and so a previous factor of
+    that length, exactly if it isn't the run's first in text order."""
+    left, n = least - ANCHOR, len(bodies)
+    grid = np.full((n, left + least), 256, np.int16)  # 256: beyond the document's ends
+    for row, body, centre in zip(grid, bodies, centres, strict=True):
+        row[left - centre : left - centre + len(body)] = np.frombuffer(body, np.uint8)
+    grid = np.ascontiguousarray(grid.T)
+    base = np.array(groups, np.int64) * 512
+    order, common = np.arange(n), np.zeros(n + 1, np.int64)
+    earlier, other = np.zeros((left + 1, n), bool), np.zeros((left + 1, n), bool)
+    for c in range(len(grid) - 1, -1, -1):
+        byte = grid[c][order]
+        key = base + byte
+        step = np.zeros(n + 1, np.int64)
+        if (key[1:] >= key[:-1]).all():
+            same = np.flatnonzero((key[1:] == key[:-1]) & (byte[1:] != 256)) + 1
+            step[same] = common[same] + 1
+        else:
+            perm = np.argsort(key, kind="stable")
+            key, byte = key[perm], byte[perm]
+            same = np.flatnonzero((key[1:] == key[:-1]) & (byte[1:] != 256)) + 1
+            bounds = np.stack([perm[same - 1] + 1, perm[same] + 1], axis=1).ravel()
+            if len(bounds):
+                step[same] = np.minimum.reduceat(common, bounds)[::2] + 1
+            order = order[perm]
+        common = step
+        if c <= left:
+            hit = common[:n] >= least
+            if hit.any():
+                heads = np.flatnonzero(~hit)
+                first = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.r_[heads, n]))
+                inside = hit | np.r_[hit[1:], False]
+                other[c, order[inside]] = True
+                earlier[c, order[inside & (order > first)]] = True
+    return earlier, other
+
+
+def group_numbers(rows: list[tuple]) -> list[int]:
+    out: list[int] = []
+    for k, r in enumerate(rows):
+        out.append(0 if not k else out[-1] + (r[:2] != rows[k - 1][:2]))
+    return out
 
 
 def runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -253,16 +260,14 @@ def repeated_spans(documents: DataFrame, least: int, keep_first: bool) -> tuple[
             yield verdict(held)
 
     def verdict(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: (r[3] is not None, r[3] if r[3] is not None else 0, r[4], r[5]))
-        names = {k: i for i, k in enumerate({r[:2] for r in rows})}
-        starts, earlier, other = repeats([r[-1] for r in rows], least, [names[r[:2]] for r in rows], [r[6] for r in rows])
+        rows = sorted(rows, key=lambda r: (r[0], r[1], r[3] is not None, r[3] if r[3] is not None else 0, r[4], r[5]))
+        earlier, other = repeats([r[-1] for r in rows], least, group_numbers(rows), [r[6] for r in rows])
+        flags = np.ascontiguousarray((earlier if keep_first else other).T)
         later, first = [], []
-        for (_, _, _, _, _, _, l, n, body), s in zip(rows, starts.tolist(), strict=True):
-            flags = (earlier if keep_first else other)[s : s + len(body)]
-            found = [(lo - l, hi - l) for lo, hi in runs(flags, least)]
+        for (_, _, _, _, _, _, l, n, body), own in zip(rows, flags, strict=True):
             every = [(-l, len(body) - l)]
             later.append(pairs(every))
-            first.append(pairs(found if keep_first or n == 1 else every))
+            first.append(pairs([(lo - left, hi - left) for lo, hi in runs(own, least)] if keep_first or n == 1 else every))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(later, PA_SPANS), pa.array(first, PA_SPANS)], names=["key", "ctx", "later", "first"])
 
     compared = dealt.mapInArrow(compare, f"key bigint, ctx bigint, later {SPANS}, first {SPANS}").groupBy("key", "ctx").agg(F.first("later").alias("later"), F.flatten(F.collect_list("first")).alias("first"))

@@ -44,9 +44,22 @@ def test_longest_previous_factor():
         brute = [max((k for k in range(len(data) - i + 1) for j in range(i) if data[j : j + k] == data[i : i + k]), default=0) for i in range(len(data))]
         got = sub.longest_previous_factor(data)
         assert got.tolist() == brute
-        least = 3
-        _, earlier, _ = sub.repeats([data], least)
-        assert (earlier == (got >= least)).all()
+
+
+def test_repeats_of_aligned_contexts(monkeypatch):
+    """Against every pair: contexts of one group, cut off at either end at random."""
+    monkeypatch.setattr(sub, "ANCHOR", 2)
+    rng = random.Random(6)
+    least = 6
+    for _ in range(60):
+        groups = sorted(rng.randint(0, 2) for _ in range(rng.randint(1, 9)))
+        centres = [rng.randint(0, least - 2) for _ in groups]
+        bodies = [bytes(rng.choice(b"aab") for _ in range(c)) + b"zz" + bytes(rng.choice(b"aab") for _ in range(rng.randint(0, least - 2))) for c in centres]
+        earlier, other = sub.repeats(bodies, least, groups, centres)
+        for c in range(least - 2 + 1):
+            cut = [(g, b[c - least + 2 + m : c + 2 + m]) if c - least + 2 + m >= 0 and len(b) >= c + 2 + m else None for g, b, m in zip(groups, bodies, centres, strict=True)]
+            assert earlier[c].tolist() == [x is not None and x in cut[:k] for k, x in enumerate(cut)]
+            assert other[c].tolist() == [x is not None and cut.count(x) > 1 for x in cut]
 
 
 def test_segments_find_the_same_anchors(monkeypatch):
