@@ -150,8 +150,8 @@ def signature_jaccard(a: Column, b: Column) -> Column:
 
 
 def lsh_bands(signature: Column, rows: int = 8) -> Column:
-    """(band, digest) keys."""
-    return F.transform(F.sequence(F.lit(0), F.size(signature) / rows - 1), lambda b: F.xxhash64(b, F.slice(signature, (b * rows + 1).cast("int"), F.lit(rows))))
+    """(band, digest) keys of a 64-slot signature with eight rows a band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, F.lit(rows))))
 
 
 def simhash_chunks(c: Column) -> Column:

@@ -15,7 +15,7 @@ TERMS = ["the", "reed", "que"]
 #: Words of a document in SQL.
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+')"
 BM25 = f"""with d as (select doc_id, {WORDS} w from documents), t as (select unnest(['the', 'reed', 'que']) term), n as (select count(*) docs, avg(len(w)) mean from d),
-c as (select doc_id, len(w) length, term, len(list_filter(w, x -> x = term)) tf from d cross join t), df as (select term, count(*) filter (where tf > 0) df from c group by 1),
+c as (select doc_id, len(w) length, term, len(list_filter(w, lambda x: x = term)) tf from d cross join t), df as (select term, count(*) filter (where tf > 0) df from c group by 1),
 s as (select doc_id, sum(case when tf > 0 then ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) else 0 end) lexical, count(*) filter (where tf > 0) hits from c join df using (term) cross join n group by 1)
 """
 
@@ -35,8 +35,8 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     return S.search(table(spark, sf, "documents"), S.SearchQuery("of the", "phrase", limit=None)).select("doc_id")
 
 
-@query(BM25.replace("['the', 'reed', 'que']", "['thing', 'reed']") + f""", g as (select doc_id, list_distinct({WORDS}) w from documents where lang = 'en'), p as (select doc_id, w, list_distinct(flatten(list_transform(w, x -> list_transform(range(1, length(x) + 3), i -> substr('##' || x || '##', i, 3))))) t from g),
-q as (select ['thing', 'reed'] qw, list_distinct(flatten(list_transform(['thing', 'reed'], x -> list_transform(range(1, length(x) + 3), i -> substr('##' || x || '##', i, 3))))) qt),
+@query(BM25.replace("['the', 'reed', 'que']", "['thing', 'reed']") + f""", g as (select doc_id, list_distinct({WORDS}) w from documents where lang = 'en'), p as (select doc_id, w, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 3), lambda i: substr('##' || x || '##', i, 3))))) t from g),
+q as (select ['thing', 'reed'] qw, list_distinct(flatten(list_transform(['thing', 'reed'], lambda x: list_transform(range(1, length(x) + 3), lambda i: substr('##' || x || '##', i, 3))))) qt),
 f as (select p.doc_id, lexical, case when len(t) + len(qt) = 0 then 0 else 0.5 * 2 * len(list_intersect(t, qt)) / (len(t) + len(qt)) end + 0.5 * len(list_intersect(w, qw)) / len(list_distinct(list_concat(w, qw))) sem from p cross join q join s using (doc_id)),
 m as (select max(lexical) top from f) select doc_id, round(0.7 * case when top > 0 then lexical / top else 0 end + 0.3 * sem, 4) score from f cross join m where lexical > 0 or sem > 0""")
 def hybrid_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ def shingle_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.select("l", "r", F.round(F.col("k") / (F.col("x") + F.col("y") - F.col("k")), 6).alias("jaccard"))
 
 
-@query("with g as (select n_name, list_distinct(list_transform(range(1, length(n_name) + 3), i -> substr('##' || lower(n_name) || '##', i, 3))) t from nation) select a.n_name l, b.n_name r, round(2 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) dice, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) edit, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) jaccard from g a join g b on a.n_name < b.n_name")
+@query("with g as (select n_name, list_distinct(list_transform(range(1, length(n_name) + 3), lambda i: substr('##' || lower(n_name) || '##', i, 3))) t from nation) select a.n_name l, b.n_name r, round(2 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) dice, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) edit, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) jaccard from g a join g b on a.n_name < b.n_name")
 def ngram_dice(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select("n_name", X.padded_trigrams(F.array(F.lower("n_name"))).alias("t"))
     a, b = n.alias("a"), F.broadcast(n).alias("b")  # 25 nations
