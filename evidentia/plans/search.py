@@ -80,11 +80,11 @@ def exact_dup_groups(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(X.content_hash(norm).alias("hash")).agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("""with w as (select item_id, regexp_split_to_array(lower(trim(text)), '\\s+') w from benchmark), s as (select distinct item_id, array_to_string(w[i:i+2], ' ') g from (select item_id, w, unnest(range(1, greatest(2, len(w) - 1))) i from w)), n as (select item_id, count(*) n from s group by 1)
+@query("""with w as (select item_id, regexp_split_to_array(lower(trim(text)), '\\s+') w from benchmark), s as (select distinct item_id, array_to_string(w[i:i+1], ' ') g from (select item_id, w, unnest(range(1, greatest(2, len(w)))) i from w)), n as (select item_id, count(*) n from s group by 1)
 select a.item_id l, b.item_id r, round(count(*) / (x.n + y.n - count(*)), 6) jaccard from s a join s b on a.g = b.g and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by 1, 2, x.n, y.n""")
 def shingle_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     w = F.split(F.lower(F.trim("text")), r"\s+")
-    s = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.word_shingles(w))).alias("g"))
+    s = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.word_shingles(w, 2))).alias("g"))
     n = s.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     pairs = s.alias("a").join(s.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("l"), F.col("b.item_id").alias("r")).agg(F.count(F.lit(1)).alias("k"))
     sizes = pairs.join(n.select(F.col("item_id").alias("l"), F.col("n").alias("x")), "l").join(n.select(F.col("item_id").alias("r"), F.col("n").alias("y")), "r")
