@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0100-\U0010ffff]")
 #: Words that a process remembers at most.
-CACHE = 500_000
+CACHE = 300_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -186,7 +186,7 @@ def tokenize(documents: DataFrame, path: str, with_ids: bool = False) -> DataFra
         cols = [b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for _, i, _ in got]), pa.array([hashlib.sha256(d.decode("utf-8", "replace").encode()).hexdigest() for _, _, d in got])]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            flat = np.array(b",".join(i for _, i, _ in got if i).split(b","), dtype="S").astype(np.int32) if any(i for _, i, _ in got) else np.zeros(0, np.int32)
+            flat = np.concatenate([np.fromstring(i.decode(), np.int32, sep=",") if i else np.zeros(0, np.int32) for _, i, _ in got])
             cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([n for n, _, _ in got])].astype(np.int32)), pa.array(flat)))
             names.append("ids")
         return pa.RecordBatch.from_arrays(cols, names=names)

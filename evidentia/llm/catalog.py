@@ -51,9 +51,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Words, A-Z lower-cased, in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""with iw as (select item_id, {WORDS.format('text')} w from benchmark where text is not null and item_id is not null),
+g as (select distinct item_id, least(10, len(w)) k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') s from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i from iw where len(w) > 0)),
+d as (select doc_id, {WORDS.format('text')} w from documents),
+p as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') s from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d cross join (select distinct k from g) where len(w) >= k)),
+h as (select p.doc_id, p.i, p.k, g.item_id from p join g on p.k = g.k and p.s = g.s),
+n as (select doc_id, count(distinct x) n_hit from (select doc_id, unnest(range(i, i + k)) x from h) group by 1),
+t as (select doc_id, count(*) n_items, string_agg(v, ',' order by v) items from (select distinct doc_id, cast(item_id as varchar) v from h) group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join n using (doc_id) left join t using (doc_id)"""
+
+
+def op8_sql() -> str:
+    """Base phrases by position; template labels by counting each block's common words with each template."""
+    templates = ", ".join(f"('{label}', {i}, {sorted(set(t.split()))})" for label, ts in license.TEMPLATES.items() for i, t in enumerate(ts))
+    phrases = " union all ".join(f"select doc_id, i - 1 as place, '{label}' lab from u where " + " and ".join(f"w[i{f' + {k}' if k else ''}] = '{x}'" for k, x in enumerate(p.split())) for p, label in license.PHRASES.items())
+    return rf"""with d as (select doc_id, text, {WORDS.format('text')} w from documents), u as (select doc_id, w, unnest(range(1, len(w) + 1)) i from d where contains(lower(text), 'license') or contains(lower(text), 'reserved') or contains(lower(text), 'cc')),
+b as (select doc_id, place, lab from ({phrases})),
+k as (select doc_id, list_distinct({WORDS.format('block')}) w from (select doc_id, unnest(string_split(regexp_replace(text, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10))) block from documents)),
+t(lab, i, ws) as (values {templates}),
+m as (select doc_id, lab, max(len(list_intersect(k.w, ws)) / len(ws)) c from k cross join t where len(list_intersect(k.w, ws)) >= ceil(0.8 * len(ws) - 1e-9) group by 1, 2),
+a as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word from b group by 1),
+l as (select doc_id, string_agg(distinct lab, ',' order by lab) labels, max(c) c from (select doc_id, lab, 1.0 c from b union all select doc_id, lab, c from m) group by 1),
+o as (select doc_id, string_agg(distinct lab, ',' order by lab) labels from b group by 1)
+select d.doc_id, cast(len(d.w) as bigint) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(o.labels, '') base_labels, coalesce(l.labels, '') labels, case when n_base > 0 then 1.0::double else coalesce(l.c, 0)::double end score from d left join a using (doc_id) left join l on l.doc_id = d.doc_id left join o on o.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_language, op3_pages, op4_simhash, op5_substrings, op6_decontaminate, op7_toxicity, op8_license, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": OP6, "op8_license": op8_sql()}

@@ -154,7 +154,7 @@ def _prune(tests: list[Test], rows: list[dict]) -> list[Test]:
     return tests
 
 
-def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 4, least_precision: float = 0.9, least_support: int = 4, seed: int = 42) -> list[Rule]:
+def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 4, least_precision: float = 0.87, least_support: int = 4, seed: int = 42) -> list[Rule]:
     """Sequential covering over rows of FEATURES and y (0: reject)."""
     rows = sorted(rows, key=lambda r: tuple(r[f] for f in FEATURES))
     random.Random(seed).shuffle(rows)
@@ -167,7 +167,8 @@ def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 4, least
         tests = _prune(tests, back)
         got = [r["y"] for r in rows if all(t.holds(r) for t in tests)]
         bad = sum(y == 0 for y in got)
-        if bad < least_support or bad / len(got) < least_precision:
+        # Laplace's estimate, so that a few rows don't make a rule.
+        if bad < least_support or (bad + 1) / (len(got) + 2) < least_precision:
             break
         rules.append(Rule(tuple(tests), bad / len(got), len(got)))
         rows = [r for r in rows if not rules[-1].holds(r)]
