@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import SPACE, labelled_sample
 
-#: Statistics that the learner may test, each a share of the words or characters.
-FEATURES = ["symbol_share", "upper_share", "bang_share", "bar_share", "echo_share", "repeat_share", "dup_line_share", "type_share", "mean_word", "log_words"]
+#: Statistics that the learner may test: shares of the words or characters, and distinct words over the root of all,
+#: which unlike their share hardly depends on the length.
+FEATURES = ["symbol_share", "upper_share", "bang_share", "bar_share", "echo_share", "repeat_share", "dup_line_share", "richness", "mean_word", "log_words"]
 
 
 def let(value: Column, body) -> Column:
@@ -73,7 +74,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("n_symbols", "word_chars").alias("symbol_share"), share("n_upper", "word_chars").alias("upper_share"), share("n_bang", "n_words").alias("bang_share"),
         share("n_bar", "n_words").alias("bar_share"), share("t.echo", "n_words").alias("echo_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("n_dup_lines", "n_lines").alias("dup_line_share"), share("t.types", "n_words").alias("type_share"), share("word_chars", "n_words").alias("mean_word"),
+        share("n_dup_lines", "n_lines").alias("dup_line_share"), F.coalesce(F.col("t.types") / F.sqrt(F.nullif(F.col("n_words").cast("double"), F.lit(0.0))), F.lit(0.0)).alias("richness"), share("word_chars", "n_words").alias("mean_word"),
         F.log1p(F.col("n_words").cast("double")).alias("log_words"),
     )
 
