@@ -35,6 +35,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared scratch folder and reads it back: lineage ends there, and any
     lost executor's work is re-read rather than recomputed."""
+    small_batches(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/evidentia-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -71,6 +72,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, per_cl
     return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), weights
 
 
+#: What a Python worker holds of a table at once: rows, and bytes where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: the default of 10,000 rows to a batch would be most of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     """mapInArrow over the named columns only. fn takes a RecordBatch and returns a RecordBatch or None."""
 
@@ -79,4 +90,5 @@ def map_text(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from evidentia.llm.common import materialize
+from evidentia.llm.common import materialize, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -99,6 +99,7 @@ def hit_words(documents: DataFrame, benchmark: DataFrame, width: int = 10, carry
     end) and _items (whose windows occur, sorted as strings)."""
     out = documents.select(*carry, F.col("text").cast("binary").alias("_text"), F.array().cast("array<struct<start:int,end:int>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     done = documents.select(*carry).schema.add("_words", LongType())
+    small_batches(documents.sparkSession)
     parts = blocks_of(benchmark)
     for k, part in enumerate(parts):
         items = [(r["item"], bytes(r["text"])) for r in part.collect()]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evidentia.llm.common import held_out, labelled_sample, map_text
+from evidentia.llm.common import held_out, labelled_sample, map_text, small_batches
 from evidentia.llm.rules import let
 
 #: Bounds of the labelled sample and of the learned lexicon.
@@ -253,6 +253,7 @@ def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame
     """The documents' own columns and, under the given name, the model's score of the whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
+    small_batches(documents.sparkSession)
 
     def run(batches):
         for b in batches:
