@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -100,6 +102,7 @@ def padded_trigrams(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 2), lambda i: F.substring(F.concat(F.lit("##"), w, F.lit("##")), i, F.lit(3))))))
 
 
+@lru_cache(200_000)
 def feature_hash(feature: str) -> int:
     """The unsigned 64-bit BLAKE2b hash, big endian."""
     return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
@@ -108,14 +111,16 @@ def feature_hash(feature: str) -> int:
 def simhash_of(text: str | None) -> int:
     """SimHash of word and padded trigram features (weights 2 and 1), as a signed long; 0 for an empty text."""
     words = re.findall(r"\w+", (text or "").casefold())
-    grams = [(f"w:{w}", 2) for w in words]
-    for w in words:
+    grams: Counter = Counter()
+    for w, n in Counter(words).items():
         padded = f"##{w}##"
-        grams += [(f"c:{padded[i : i + 3]}", 1) for i in range(len(padded) - 2)]
+        grams[f"w:{w}"] += 2 * n
+        for i in range(len(padded) - 2):
+            grams[f"c:{padded[i : i + 3]}"] += n
     if not grams:
         return 0
-    h = np.array([feature_hash(g) for g, _ in grams], np.uint64)
-    weight = np.array([w for _, w in grams], np.int64)
+    h = np.array([feature_hash(g) for g in grams], np.uint64)
+    weight = np.array(list(grams.values()), np.int64)
     bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     on = (np.where(bits == 1, weight[:, None], -weight[:, None]).sum(axis=0) > 0).astype(np.uint64)
     return int((on << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))

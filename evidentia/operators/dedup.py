@@ -43,7 +43,9 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def fingerprinted(documents: DataFrame) -> DataFrame:
     """doc_id, hash (of the normal form), simhash, minhash."""
-    d = documents.select("doc_id", X.normalized_text("text").alias("norm"))
+    # The hashes are the work here, so a few large files are spread over all cores first.
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = documents.repartition(spread, "doc_id").select("doc_id", X.normalized_text("text").alias("norm"))
     return d.select("doc_id", X.content_hash(F.col("norm")).alias("hash"), X.simhash64("norm").alias("simhash"), X.minhash("norm").alias("minhash"))
 
 
