@@ -71,6 +71,12 @@ class FactorisationMachine:
         self.bias, self.w = 0.0, np.zeros(width, np.float32)
         self.v = rng.normal(0, 0.02, (width, rank)).astype(np.float32)
 
+    def constant(self, classes: set) -> FactorisationMachine:
+        """Scores everything as the only class there is, or 0.5."""
+        self.bias = 30.0 * (1 in classes) - 30.0 * (0 in classes)
+        self.v[:] = 0
+        return self
+
     def raw(self, starts: np.ndarray, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The margin of each row and its factor sums."""
         vx = self.v[place] * value[:, None]
@@ -119,9 +125,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CL
     fm = FactorisationMachine(width)
     sample, class_weight = labelled_sample(documents, labels, "quality", {0: max_per_class, 1: max_per_class})
     if len(class_weight) < 2:
-        fm.bias = 30.0 * (1 in class_weight) - 30.0 * (0 in class_weight)
-        fm.v[:] = 0
-        return fm
+        return fm.constant(set(class_weight))
     known = sample.select(F.col("doc_id").alias("known"), "y").dropDuplicates(["known"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,6 +139,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CL
     got = map_text(wanted, ["doc_id", "text", "length", "y"], run, f"place array<int>, value array<float>, y int, doc_id {kind}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_per_class).toArrow()
     rows = [(np.array(p, np.int32), np.array(v, np.float32)) for p, v in zip(got["place"].to_pylist(), got["value"].to_pylist(), strict=True)]
     y = got["y"].to_numpy().astype(np.float64)
+    if len(set(y)) < 2:  # labels of both classes, but not on these documents
+        return fm.constant(set(y))
     fm.fit(rows, y, np.where(y == 1, class_weight[1], class_weight[0]))
     return fm
 

@@ -311,12 +311,15 @@ def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool
 def rewrite(documents: DataFrame, min_bytes: int = 400) -> DataFrame:
     """The documents without later copies of long strings; n_chars follows the text. Documents that lose all their
     words go, the others stay."""
-    out = remove_repeats(documents, min_bytes, True, tuple(documents.columns)).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    # Other columns travel under names of their own, so that none clashes with those made here.
+    others = {c: f"c{k}" for k, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
+    plain = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in others.items()])
+    out = remove_repeats(plain, min_bytes, True, tuple(plain.columns)).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns])
+    new = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept")).otherwise(F.col("text"))} | {c: F.col(x) for c, x in others.items()}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(changed, F.length("kept")).otherwise(new["n_chars"]).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) for c in documents.columns])
 
 
 def brute_force(rows: list[tuple], least: int, keep_first: bool = False) -> list[tuple]:

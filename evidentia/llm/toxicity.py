@@ -233,7 +233,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = map_text(sample, ["doc_id", "text", "y", "part"], run, f"doc_id {kind}, y int, part bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (max_toxic + max_clean)).toArrow()
-    x, y, part = np.array(rows["x"].to_pylist(), np.float64), rows["y"].to_numpy().astype(np.float64), rows["part"].to_numpy()
+    y = rows["y"].to_numpy().astype(np.float64)
+    if len(set(y)) < 2:  # labels of both classes, but not on these documents
+        return Model(Lexicon(), None, nothing, nothing, float(y[0]) if len(y) else 0.0)
+    x, part = np.array(rows["x"].to_pylist(), np.float64), rows["part"].to_numpy()
     shares = {c: weight[c] * {0: max_clean, 1: max_toxic}[c] if weight[c] > 1 else max(1.0, (y == c).sum()) for c in (0, 1)}
     w = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
     own, held = part == 1, part == 0

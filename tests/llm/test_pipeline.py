@@ -60,3 +60,22 @@ def test_tokens_match_the_library(spark, with_ids):
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         want[r[0], len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)), tuple(ids)] += 1
     assert got == want
+
+
+def test_clashing_and_empty(spark, sf):
+    """Stages keep columns whose names the operators use themselves, and take empty tables."""
+    rows = [(i, f"text {i} " + "word " * 90, f"x{i}", i, "k", "s", "d") for i in range(3)] + [(9, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, th long, key string, spans string, data string")
+    for stage in (simhash.keep_one, lambda d: substrings.rewrite(d, 300), lambda d: corpus_pipeline.drop_contaminated(spark, d, sf), lambda d: corpus_pipeline.drop_toxic(spark, d, sf)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r.id, r.th) for r in out.collect()} <= {(r[0], r[2], r[3]) for r in rows}
+        assert stage(docs.limit(0)).collect() == []
+
+
+def test_rules_and_tokens_on_empty(spark):
+    from evidentia.llm import bpe, rules
+    from tests.llm.fixtures import labels
+
+    assert rules.quality_rules(frame(spark, []), labels(spark)).collect() == []
+    assert bpe.tokenize(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
