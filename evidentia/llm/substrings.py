@@ -313,10 +313,11 @@ def rewrite(documents: DataFrame, min_bytes: int = 400) -> DataFrame:
     words go, the others stay."""
     # Other columns travel under names of their own, so that none clashes with those made here.
     others = {c: f"c{k}" for k, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
-    plain = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in others.items()])
-    out = remove_repeats(plain, min_bytes, True, tuple(plain.columns)).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    plain = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in others.items()], F.col("text").isNull().alias("absent"))
+    out = remove_repeats(plain, min_bytes, True, ("doc_id", *others.values(), "absent")).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
-    new = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept")).otherwise(F.col("text"))} | {c: F.col(x) for c, x in others.items()}
+    # The text itself doesn't travel beside its bytes: where nothing goes, what is kept is the text.
+    new = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("absent"), F.col("kept"))} | {c: F.col(x) for c, x in others.items()}
     if "n_chars" in others:
         new["n_chars"] = F.when(changed, F.length("kept")).otherwise(new["n_chars"]).cast(documents.schema["n_chars"].dataType)
     return out.select(*[new[c].alias(c) for c in documents.columns])
