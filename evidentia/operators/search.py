@@ -107,7 +107,9 @@ def search(documents: DataFrame, query: SearchQuery, body: str = "text", conditi
     semantic = F.lit(0.0)
     if query.hybrid:
         q = F.array(*map(F.lit, terms))
-        semantic = 0.5 * dice(padded_trigrams(q), padded_trigrams(F.col("w"))) + 0.5 * jaccard(q, F.array_distinct("w"))
+        # Both sets come from the distinct words, and are bound once for the several sizes taken of them.
+        bound = F.transform(F.array(F.array_distinct("w")), lambda u: F.element_at(F.transform(F.array(padded_trigrams(u)), lambda t: 0.5 * dice(padded_trigrams(q), t) + 0.5 * jaccard(q, u)), 1))
+        semantic = F.element_at(bound, 1)
     found = w.join(lexical, "doc_id").select("doc_id", (F.col("lexical") + bonus).alias("lexical"), semantic.alias("semantic"), "matched_terms")
     if query.hybrid:
         top = found.agg(F.max("lexical").alias("top"), F.count_if((F.col("lexical") > 0) | (F.col("semantic") > 0)).alias("total"))
