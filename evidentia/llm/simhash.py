@@ -33,19 +33,25 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of word shingles: a bit is set if it's set in over half of the hashes."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The big-endian bytes of each word shingle's hash, one row a shingle; fewer words than width are one shingle."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     stop = ends[width - 1 :].tolist() or [len(joined)]
     start = [0, *(ends[: n - 1] + 1).tolist()]
-    raw = np.frombuffer(b"".join(map(xxh64_digest, [joined[a:b] for a, b in zip(start, stop, strict=True)], repeat(42))), np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join(map(xxh64_digest, [joined[a:b] for a, b in zip(start, stop, strict=True)], repeat(42))), np.uint8).reshape(n, 8)
+
+
+def majority(raw: np.ndarray) -> int:
     ones = np.concatenate([np.bincount(raw[:, k], minlength=256) @ BITS for k in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of word shingles: a bit is set if it's set in over half of the hashes."""
+    words = text.translate(LOWER).split() if text else []
+    return majority(shingle_hashes(words, width)) if words else 0
 
 
 def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
@@ -188,7 +194,12 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> Da
 def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One document of each group, unchanged: that of the smallest doc_id. Documents without an id stay only where
     their group has none with one, one for each fingerprint."""
-    found = classes(documents, width, radius).withColumn("loose", F.when(F.col("component_id").isNull(), F.col("fp")))
+    return one_of_each(documents, classes(documents, width, radius))
+
+
+def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that stay of the groups in found (doc_id, th, fp, component_id)."""
+    found = found.withColumn("loose", F.when(F.col("component_id").isNull(), F.col("fp")))
     chosen = found.groupBy("component_id", "loose").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h"))
     keyed = documents.withColumn("_th", F.xxhash64("text"))
     kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
