@@ -279,9 +279,14 @@ def repeated_spans(documents: DataFrame, least: int, keep_first: bool) -> tuple[
     return docs, spans.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def long_enough(data: bytes, span: tuple[int, int], over_words: int, or_bytes: int) -> bool:
+    """Whether a stretch of repeated bytes has more than over_words words, or or_bytes bytes whatever its words."""
+    return span[1] - span[0] >= or_bytes or len(data[span[0] : span[1]].split()) > over_words
+
+
+def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool = True, carry: tuple[str, ...] = ("doc_id",), over_words: int = 0, or_bytes: int = 0) -> DataFrame:
     """The carried columns, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes as text, of every
-    document."""
+    document. Of the stretches that repeated strings cover, only those that are long_enough go; by default all are."""
     if min_bytes < 2 * ANCHOR:
         raise ValueError(f"min_bytes must be at least {2 * ANCHOR}")
     docs, spans = repeated_spans(documents, min_bytes, keep_first)
@@ -294,7 +299,7 @@ def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool
                 continue
             out = []
             for data, found in zip(b.column("data").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                gone = merged([(s["lo"], s["hi"]) for s in found or ()])
+                gone = [x for x in merged([(s["lo"], s["hi"]) for s in found or ()]) if long_enough(data, x, over_words, or_bytes)]
                 edges = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else data
                 out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
@@ -308,13 +313,13 @@ def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool
     return joined.select(*carry, "data", "spans").mapInArrow(run, schema)
 
 
-def rewrite(documents: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """The documents without later copies of long strings; n_chars follows the text. Documents that lose all their
+def rewrite(documents: DataFrame, min_bytes: int = 400, over_words: int = 0, or_bytes: int = 0) -> DataFrame:
+    """The documents without later copies of long strings (see remove_repeats); n_chars follows the text. Documents that lose all their
     words go, the others stay."""
     # Other columns travel under names of their own, so that none clashes with those made here.
     others = {c: f"c{k}" for k, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
     plain = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in others.items()], F.col("text").isNull().alias("absent"))
-    out = remove_repeats(plain, min_bytes, True, ("doc_id", *others.values(), "absent")).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    out = remove_repeats(plain, min_bytes, True, ("doc_id", *others.values(), "absent"), over_words, or_bytes).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
     # The text itself doesn't travel beside its bytes: where nothing goes, what is kept is the text.
     new = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("absent"), F.col("kept"))} | {c: F.col(x) for c, x in others.items()}
