@@ -5,8 +5,8 @@ least the threshold's share of a template's tokens must hold one of its prefix t
 so blocks are joined with templates on prefix tokens only. Length (|B| >= ceil(t|T|)) and positional bounds (what
 can still match behind the two positions) prune before the exact overlap is counted.
 
-Defined results: a null text counts as empty (no words, no labels, score 0); a text block is a line or a sentence of
-one; rows that repeat get equal results; extra columns are ignored; an empty table gives an empty result.
+Defined results: a null text counts as empty (no words, no labels, score 0); a text block is a line, a sentence of
+one, or as many words of the whole text as the template has, so that wrapped notices count; rows that repeat get equal results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,19 +65,24 @@ def document_frequency(documents: DataFrame, vocabulary: list[str]) -> dict[str,
 def template_matches(documents: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(doc_id, text_hash, label, containment) of each document and template label with a block at the threshold."""
     spark = documents.sparkSession
-    sets = [(label, i, sorted(set(re.findall(ALNUM_WORD, t)))) for label, ts in templates.items() for i, t in enumerate(ts)]
-    vocabulary = sorted({w for _, _, ws in sets for w in ws})
+    sets = [(label, i, len(re.findall(ALNUM_WORD, t)), sorted(set(re.findall(ALNUM_WORD, t)))) for label, ts in templates.items() for i, t in enumerate(ts)]
+    vocabulary = sorted({w for *_, ws in sets for w in ws})
     df = document_frequency(documents, vocabulary)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))}
     rows, prefix = [], set()
-    for label, i, ws in sets:
+    lowered, enough = F.lower("text"), F.lit(False)
+    for label, i, length, ws in sets:
         ranked = sorted(order[w] for w in ws)
         least = math.ceil(threshold * len(ws) - 1e-9)
+        held = F.lit(0)
+        for w in ws:
+            held += F.contains(lowered, F.lit(w)).cast("int")
+        enough |= held >= least
         for at, r in enumerate(ranked[: len(ws) - least + 1]):
-            rows.append((label, i, ranked, least, at, r))
+            rows.append((label, i, ranked, least, length, at, r))
             prefix.add(sorted(vocabulary, key=order.get)[r])
     # As long as the fixed list of templates: a few hundred short rows at most.
-    side = F.broadcast(spark.createDataFrame(rows, "label string, template int, t array<int>, least int, t_at int, token int"))
+    side = F.broadcast(spark.createDataFrame(rows, "label string, template int, t array<int>, least int, length int, t_at int, token int"))
     rank = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
     text = F.col("text")
     # Substring tests are wider than the token test and cheap; they only decide which texts are cut into blocks.
@@ -95,7 +100,17 @@ def template_matches(documents: DataFrame, threshold: float = 0.8, templates: di
         .withColumn("overlap", F.size(F.array_intersect("t", "b")))
         .filter(F.col("overlap") >= F.col("least"))
     )
-    return pairs.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("overlap") / F.size("t")).alias("containment"))
+    # Windows of a template's length over the whole text around its prefix tokens; null ranks are other words.
+    whole = documents.filter(has_any(F.lower(text), sorted(prefix)) & enough).select("doc_id", F.xxhash64(text).alias("text_hash"), F.transform(words_of(text), lambda x: F.element_at(rank, x)).alias("r"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("length") + 1), F.col("at"))
+    windows = (
+        whole.select("doc_id", "text_hash", "r", F.posexplode("r").alias("at", "token"))
+        .join(side, "token")
+        .withColumn("overlap", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("r", i + 1, F.col("length")), F.col("t"))))))
+        .filter(F.col("overlap") >= F.col("least"))
+    )
+    found = pairs.select("doc_id", "text_hash", "label", "overlap", "t").unionByName(windows.select("doc_id", "text_hash", "label", "overlap", "t"))
+    return found.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("overlap") / F.size("t")).alias("containment"))
 
 
 def base_places(words: Column) -> Column:
