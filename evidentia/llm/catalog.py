@@ -28,7 +28,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), 400, keep_first=False).drop("kept")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), 400, keep_first=False)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,21 @@ def corpus(seed, least):
     return [(100 + i, t, None, None, 0, None, None) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("least", "keep_first", "chunk"), [(400, False, 3000), (150, False, 3000), (150, True, 3000), (150, False, 2), (150, True, 2)])
-def test_matches_brute_force(spark, monkeypatch, least, keep_first, chunk):
+@pytest.mark.parametrize(
+    ("least", "keep_first", "chunk", "tiles", "most", "words"),
+    [(400, False, 3000, 8, 10**6, 0), (150, False, 3000, 8, 10**6, 0), (150, True, 3000, 8, 0, 0), (150, False, 2, 99, 0, 0), (150, True, 2, 99, 10**6, 0), (150, False, 2, 1, 10**6, 0), (150, True, 2, 1, 10**6, 0), (300, True, 3000, 8, 10**6, 40), (300, False, 2, 1, 10**6, 40)],
+)
+def test_matches_brute_force(spark, monkeypatch, least, keep_first, chunk, tiles, most, words):
+    """Whole contexts, chunks and counted strings, with and without listed texts, of bytes and of words."""
     monkeypatch.setattr(sub, "CHUNK", chunk)
+    monkeypatch.setattr(sub, "TILES", tiles)
+    monkeypatch.setattr(sub, "LISTED", most)
     rows = [r for r in awkward() if not (keep_first and r[0] == 7)] + corpus(least, least)
-    want = sub.brute_force([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))], least, keep_first)
-    got = [tuple(r[c] for c in COLUMNS) for r in sub.remove_repeats(frame(spark, rows), least, keep_first).collect()]
+    rows = rows[::3] if words else rows
+    want = sub.brute_force([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))], least, keep_first, words)
+    got = [tuple(r[c] for c in COLUMNS) for r in sub.remove_repeats(frame(spark, rows), least, keep_first, words=words).collect()]
     assert Counter(got) == Counter(want)
-    assert sum(r[2] > 0 for r in want) > 10
+    assert sum(r[2] > 0 for r in want) > (2 if words else 10)
 
 
 def test_longest_previous_factor():
@@ -58,8 +65,30 @@ def test_repeats_of_aligned_contexts(monkeypatch):
         earlier, other = sub.repeats(bodies, least, groups, centres)
         for c in range(least - 2 + 1):
             cut = [(g, b[c - least + 2 + m : c + 2 + m]) if c - least + 2 + m >= 0 and len(b) >= c + 2 + m else None for g, b, m in zip(groups, bodies, centres, strict=True)]
-            assert earlier[c].tolist() == [x is not None and x in cut[:k] for k, x in enumerate(cut)]
-            assert other[c].tolist() == [x is not None and cut.count(x) > 1 for x in cut]
+            assert (earlier[c] > 0).tolist() == [x is not None and x in cut[:k] for k, x in enumerate(cut)]
+            assert (other[c] > 0).tolist() == [x is not None and cut.count(x) > 1 for x in cut]
+
+
+def test_previous_factors():
+    """Against every pair of suffixes of a group of strings."""
+    rng = random.Random(8)
+    for _ in range(200):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        order = sorted(range(len(texts)), key=lambda i: (texts[i], i))
+        prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        common = np.array([0, *(prefix(texts[i], texts[j]) for i, j in zip(order[:-1], order[1:], strict=True))])
+        got = sub.previous_factors(np.array(order), common)
+        assert got.tolist() == [max((prefix(texts[i], texts[j]) for j in range(i)), default=0) for i in order]
+
+
+def test_a_very_long_text(spark):
+    """Megabytes of one text, with one passage at both ends, beside texts that share it."""
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, rest = say(80), say(300_000)
+    rows = [(1, f"{passage} {rest} {passage}", None, None, 0, None, None), (2, f"x {passage} y", None, None, 0, None, None), (3, say(100), None, None, 0, None, None)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in sub.remove_repeats(frame(spark, rows), 400, False).collect()}
+    assert got[3] == (0, 0) and got[1][1] == 2 and got[1][0] >= 2 * len(passage) and got[2][0] >= len(passage)
 
 
 def test_segments_find_the_same_anchors(monkeypatch):
