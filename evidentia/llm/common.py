@@ -92,3 +92,13 @@ def map_text(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
 
     small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
+
+
+#: Hashes that are broadcast at most (8 bytes each, some 24 in the executors' tables).
+LISTED = 2_000_000
+
+
+def listed(found: DataFrame, column: str) -> DataFrame | None:
+    """The hashes in a column of found (a written table) as _listed, to be broadcast; None if there are more than
+    LISTED, and callers shuffle instead. Results are the same."""
+    return F.broadcast(found.select(F.col(column).alias("_listed")).distinct()) if found.count() <= LISTED else None

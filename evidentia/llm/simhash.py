@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from evidentia.llm.common import map_text, materialize
+from evidentia.llm.common import listed, map_text, materialize
 from evidentia.llm.decontaminate import LOWER
 from evidentia.llm.graph import components
 
@@ -194,13 +194,27 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> Da
 def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One document of each group, unchanged: that of the smallest doc_id. Documents without an id stay only where
     their group has none with one, one for each fingerprint."""
-    return one_of_each(documents, classes(documents, width, radius))
+    keys = documents.select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64("doc_id", "text").alias("k")).distinct()
+    found = classes(documents, width, radius)
+    return one_of_each(documents, found.join(keys.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "k", "fp", "component_id"))
 
 
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that stay of the groups in found (doc_id, th, fp, component_id)."""
+    """The documents that stay of the groups in found (doc_id, k, fp, component_id); k is the hash of doc_id and text.
+
+    Each group keeps the row of its smallest doc_id. If the rows to go are few enough to be listed, no text moves but
+    that of repeated rows (equal doc_id and text), of which one stays; beyond that, texts are shuffled once."""
     found = found.withColumn("loose", F.when(F.col("component_id").isNull(), F.col("fp")))
-    chosen = found.groupBy("component_id", "loose").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h"))
-    keyed = documents.withColumn("_th", F.xxhash64("text"))
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    chosen = found.groupBy("component_id", "loose").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("_kept"))
+    chosen = materialize(chosen, "chosen")
+    rows = materialize(found.groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    # Neither gone nor repeated means that the row stays as it is.
+    odd = materialize(rows.join(chosen, F.col("k") == F.col("_kept"), "left").filter("_kept is null or rows > 1").select("k", F.col("_kept").isNotNull().alias("stays")), "odd")
+    keyed = documents.withColumn("_k", F.xxhash64("doc_id", "text"))
+    holders = listed(odd, "k")
+    if holders is None:
+        return keyed.join(chosen, F.col("_k") == F.col("_kept"), "left_semi").dropDuplicates(["_k"]).drop("_k")
+    plain = keyed.join(holders, F.col("_k") == F.col("_listed"), "left_anti")
+    # At most as many as odd has, which was counted.
+    twice = keyed.join(F.broadcast(odd.filter("stays").select(F.col("k").alias("_listed"))), F.col("_k") == F.col("_listed"), "left_semi").dropDuplicates(["_k"])
+    return plain.unionByName(twice).drop("_k")

@@ -38,12 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from evidentia.llm.common import map_text, materialize
+from evidentia.llm.common import listed, map_text, materialize
 
 #: Bytes of an anchor, bytes of a text that are hashed at once, different contexts in a chunk, and chunks of an anchor.
-ANCHOR, SEGMENT, CHUNK, TILES = 64, 1 << 20, 3000, 8
-#: Text hashes that are broadcast at most (8 bytes each).
-LISTED = 2_000_000
+ANCHOR, SEGMENT, CHUNK, TILES = 64, 1 << 20, 500, 16
 #: Bytes of contexts whose suffixes are sorted together.
 BATCH = 3 << 20
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -234,11 +232,6 @@ def pairs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"lo": lo, "hi": hi} for lo, hi in spans]
 
 
-def listed(found: DataFrame, bound: int) -> DataFrame | None:
-    """The text hashes in found (a written table), to be broadcast; None if there are more than bound."""
-    return F.broadcast(found.select(F.col("h").alias("_listed")).distinct()) if found.count() <= bound else None
-
-
 def repeated_spans(documents: DataFrame, least: int, keep_first: bool, words: int = 0) -> DataFrame:
     """(id, h, spans) of the documents with bytes to remove, written; h is the text's hash."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -278,7 +271,7 @@ def repeated_spans(documents: DataFrame, least: int, keep_first: bool, words: in
     # Bytes of the different contexts of the other anchors.
     several = contexts.filter("many")
     wanted = materialize(several.groupBy(F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("h")).agg(F.collect_list(F.struct("key", "ctx", F.col("rep.p").alias("p"), "l", "r", "n")).alias("own")), "wanted")
-    holders = listed(wanted, LISTED)
+    holders = listed(wanted, "h")
     texts = docs if holders is None else docs.join(holders, F.col("th") == F.col("_listed"), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))
     cut = F.substring("data", F.col("x.p") - F.col("x.l") + 1, F.col("x.l") + right)
@@ -328,7 +321,7 @@ def repeated_spans(documents: DataFrame, least: int, keep_first: bool, words: in
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
     places = F.flatten(F.transform("pos", lambda p: F.transform(F.when(is_rep & (p == F.col("rep.p")), F.col("first")).otherwise(F.col("later")), lambda s: F.struct((p + s["lo"]).alias("lo"), (p + s["hi"]).alias("hi")))))
     spans = shared.select("doc_id", "th", "key", "ctx", "pos").join(result, ["key", "ctx"]).select("doc_id", "th", places.alias("spans")).filter(F.size("spans") > 0)
-    return materialize(spans.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    return materialize(spans.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def counted_strings(bodies: DataFrame, kind: str, least: int, words: int, keep_first: bool) -> DataFrame:
@@ -386,7 +379,7 @@ def remove_repeats(documents: DataFrame, min_bytes: int = 400, keep_first: bool
     def join(some: DataFrame) -> DataFrame:
         return some.join(spans, some["doc_id"].eqNullSafe(F.col("id")) & (F.col("_th") == F.col("h")), "left").select(*carry, "_data", "spans")
 
-    holders = listed(spans, LISTED)
+    holders = listed(spans, "h")
     if holders is None:
         joined = join(docs)
     else:  # only texts that lose something are shuffled

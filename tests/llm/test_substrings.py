@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from evidentia.llm import common
 from evidentia.llm import substrings as sub
 from tests.llm.fixtures import awkward, frame
 
@@ -35,7 +36,7 @@ def test_matches_brute_force(spark, monkeypatch, least, keep_first, chunk, tiles
     """Whole contexts, chunks and counted strings, with and without listed texts, of bytes and of words."""
     monkeypatch.setattr(sub, "CHUNK", chunk)
     monkeypatch.setattr(sub, "TILES", tiles)
-    monkeypatch.setattr(sub, "LISTED", most)
+    monkeypatch.setattr(common, "LISTED", most)
     rows = [r for r in awkward() if not (keep_first and r[0] == 7)] + corpus(least, least)
     rows = rows[::3] if words else rows
     want = sub.brute_force([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))], least, keep_first, words)
