@@ -8,7 +8,8 @@ language of the prototype with the greatest cosine.
 A text's dot products with the prototypes come from its trigram counts, and its norm from the bundle itself, so each
 distinct trigram is bound once a process (bounded cache). Defined results: null text or no letters gives `und` and
 score 0; white space and other characters separate words as one space; equal cosines go to the first language by
-name; repeated rows get equal results; without training rows everything is `und`.
+name; repeated rows get equal results; texts of any length are read whole; an empty table gives an empty result;
+other columns don't matter, whatever their names; without training rows everything is `und`.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import held_out, map_text
 
 DIMENSIONS = 1024
-#: Training texts of each language, at most, and languages at most (the most frequent).
-PER_LANGUAGE, LANGUAGES = 400, 256
+#: Training texts of each language, at most; the model has one prototype for each language.
+PER_LANGUAGE = 400
 CACHE = 25_000
 
 
@@ -66,9 +67,9 @@ class Grams:
 
 
 def is_letter() -> np.ndarray:
-    """For code points below 0x30000: itself lower-cased if a letter, else 0."""
-    table = np.zeros(0x30000, np.int64)
-    for c in range(0x30000):
+    """For each code point: itself lower-cased if a letter, else 0."""
+    table = np.zeros(0x110000, np.int64)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -87,7 +88,7 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         return None
     table, _ = shared()
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    low = table[np.minimum(codes, len(table) - 1)]
+    low = table[codes]
     low = np.r_[0, low, 0]
     keep = np.r_[True, (low[1:] != 0) | (low[:-1] != 0)]
     low = low[keep]
@@ -104,11 +105,10 @@ def bundle(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def prototypes(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """The languages, by name, and their unit prototypes. Trains on text and non-null lang outside the held-out fold."""
     train = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    languages = [r["lang"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isin(languages)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    # per_language * LANGUAGES ids at most.
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct())
+    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    # per_language ids for each language; Spark broadcasts them if they are few.
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
     sample = train.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang")
 
     def run(batches):

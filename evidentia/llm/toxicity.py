@@ -6,8 +6,9 @@ calibration come from three disjoint parts of a bounded labelled sample (MAX_TOX
 near copies count about once, so that the words of a much copied text don't pass for a lexicon; class weights
 restore the true class shares.
 
-Defined results: a null text scores like an empty one; repeated rows get equal scores; without labels of both
-classes the score is the class share, or 0 without any label.
+Defined results: a null text scores like an empty one; repeated rows get equal scores, equal texts too; texts of any
+length are read whole, in time that grows with their length; without labels of both classes the score is the class
+share, or 0 without any label; an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ STEMS = (4, 5, 6, 7)
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr sie ihnen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros".split())
 LEET = str.maketrans("0134578@$!|", "oieastba" + "sil")
 #: A run of digits or signs with a letter behind it, inside or at the head of a word.
-MASKED = re.compile(r"[0-9@$!*+._-]+(?=[^\W\d_])")
+MASKED = re.compile(r"(?<![0-9@$!*+._-])[0-9@$!*+._-]++(?=[^\W\d_])")
+GAP = re.compile(r"\s")
 NEAR = 4
 NAMES = ["word_density", "stem_density", "word_kinds", "stem_kinds", "near_you", "you_density", "caps", "shout", "bangs", "points", "obfuscated", "masked_hits", "stretched", "log_words"]
 
@@ -67,8 +69,8 @@ class Lexicon:
         if plain in self.words or "".join(c for c in token if c.isalpha()) in self.words:
             return True
         if "*" in token:
-            rule = re.compile("".join("." if c == "*" else re.escape(c) for c in token))
-            return any(rule.fullmatch(w) for w in self.by_length.get(len(token), ()))
+            alike = lambda w: all(c in ("*", x) for c, x in zip(token, w, strict=True))
+            return any(alike(w) for w in self.by_length.get(len(token), ()))
         return False
 
 
@@ -89,10 +91,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     for m in MASKED.finditer(low):
         if m.start() < end:
             continue
-        lo = max(low.rfind(" ", 0, m.start()), low.rfind("\n", 0, m.start())) + 1
-        end = next((i for i in range(m.end(), min(len(low), m.end() + 64)) if low[i].isspace()), min(len(low), m.end() + 64))
-        token = low[lo:end]
-        if len(token) < 64 and ("a" <= token.strip("*_-.!")[-1:] <= "z" or any(c.isdigit() for c in token)) and sum(c.isalpha() for c in token) > 1:
+        before = low[end : m.start()]
+        head = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
+        gap = GAP.search(low, m.end())
+        end = gap.start() if gap else len(low)
+        token = head + low[m.start() : end]
+        if ("a" <= token.strip("*_-.!")[-1:] <= "z" or any(c.isdigit() for c in token)) and sum(c.isalpha() for c in token) > 1:
             masked += 1
             masked_hits += lexicon.unmask(token)
     stretched = sum(counts[w] for w in counts if len(w) > 3 and any(c * 3 in w for c in set(w)) and re.sub(r"(.)\1+", r"\1", w) in lexicon.words) if any(c * 3 in low for c in "aeiou") else 0

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from evidentia.llm import language, pages, quality, rules, toxicity
@@ -97,3 +98,36 @@ def test_templates_by_host(spark):
     assert (20, "Alpha Beta\n\nText 1 of its own\n\nAll of it here", 45) in got
     assert Counter((r.page_id, r.text, r.n_chars) for r in pages.extract(df, 0).collect()) == got
     assert pages.extract(df.limit(0)).collect() == []
+
+
+def test_long_runs_of_digits_and_signs():
+    """Masked tokens are found in time that grows with the text's length, whatever their length."""
+    import time
+
+    from evidentia.llm import toxicity
+
+    lexicon = toxicity.Lexicon.of(["idiot"])
+    began = time.time()
+    for text in ("0" * 1_000_000 + "!", "-" * 1_000_000, "a1" * 300_000, "x" * 1_000_000 + " id1ot", "*" * 500_000 + "a"):
+        toxicity.features(text, lexicon)
+    assert time.time() - began < 15
+    at = toxicity.NAMES.index("masked_hits")
+    assert [toxicity.features(t, lexicon)[at] for t in ("you id1ot", "1d1ot", "id*ot", "x" * 90 + " 1diot!", "a\t1diot\tb", "id10t1")] == [1, 1, 1, 1, 1, 0]
+
+
+def test_letters_of_every_plane_and_many_languages(spark):
+    from evidentia.llm import language
+
+    assert language.trigrams("\U00030001\U00030002") is not None and language.trigrams("1 2") is None
+    rows = [(4 * k, "".join(chr(0x4E00 + 7 * k + i % 5) for i in range(30)), f"l{k:03}", None, 0, None, None) for k in range(500)]
+    got = language.identify(frame(spark, rows)).collect()
+    assert len({r.lang_pred for r in got}) > 256
+
+
+def test_interactions_equal_the_sum_over_pairs():
+    """The linear-time identity against explicit pairs."""
+    rng = np.random.default_rng(1)
+    fm = quality.FactorisationMachine(9, 4)
+    x, fm.v, fm.w = rng.random(9), rng.random((9, 4)), rng.random(9)
+    pairs = sum(x[i] * x[j] * (fm.v[i] @ fm.v[j]) for i in range(9) for j in range(i))
+    assert np.isclose(fm.raw(np.array([0]), np.arange(9), x)[0][0], fm.w @ x + pairs)
