@@ -1,20 +1,25 @@
 """Main text of web pages: site template removal by counting element subtrees per host.
 
-Every element subtree is hashed (tag, role, children, text) together with its page's host. Spark counts in how many
-different pages of a host each hash stands; pages with equal content count once. A subtree that recurs goes: from
-RECUR pages (and a small share of the host's) if it is furniture, i.e. no prose block of the page's article, and from
-MOST of the host's pages in any case. The elements that HTML itself marks as no content (script, nav, form, ...) and
-those named so by class, id or role (comments, adverts, notices, ...) go too. What is left inside the article (else
-main, else body) gives the text.
+Every element subtree is hashed (tag, class, children, text) together with its page's host. Spark counts in how many
+different pages of a host each hash stands; pages with equal main text count once. A subtree that recurs goes first:
+furniture (no prose block) from RECUR pages of its host, prose outside the page's article from PROSE_RECUR pages, and
+prose inside it from MOST of the host's pages, because syndicated passages recur more often there than menus do. These
+are numbers of pages, whatever the host's size. Elements that HTML itself marks as no content (script, nav, form, a
+role, hidden) go too, and so do containers whose whole class or id is one of NAMES: readers' comments and adverts
+differ from page to page, so no count finds them. What is left inside the article (else main, else body) is the text.
 
 Template hashes are sent to executors only while they are at most TEMPLATES; beyond that they are joined with the
 pages' own hashes and come back as a list for each page. Defined results: a null html counts as empty (text empty); a
-null url is a host of its own; repeated rows get equal results; unclosed and stray tags are tolerated.
+null url is a host of its own; repeated rows get equal results; of pages with equal main text the one with the
+smallest hash of its subtrees is counted; unclosed and stray tags are tolerated, and a tag without an end is text;
+pages of any length are read whole in time that grows with their length; elements nested deeper than DEPTH become
+siblings; an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -25,12 +30,13 @@ from xxhash import xxh64_intdigest
 
 from evidentia.llm.common import map_text, materialize
 
-#: Pages that a template subtree recurs on at least, the least share of the host's pages, and the share from which
-#: prose goes too.
-RECUR, SHARE, MOST = 3, 0.005, 0.6
+#: Pages of a host that furniture and prose recur on at least, and the share from which prose in an article goes.
+RECUR, PROSE_RECUR, MOST = 3, 10, 0.6
+#: Nesting of elements, as in browsers.
+DEPTH = 512
 #: Template hashes that are broadcast at most (8 bytes each).
 TEMPLATES = 2_000_000
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME, STOP = re.compile(r"[a-zA-Z][^\s>/]*"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
@@ -42,16 +48,18 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = frozenset("article section div table ul ol dl body main aside nav header footer form blockquote td th figure".split())
 DROP = frozenset("aside button dialog footer form frameset head iframe input label math menu nav noscript object option script select style svg template textarea title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus consent cookie cookies gdpr notice notices popup modal overlay newsletter subscribe signup paywall sidebar sidenav sidepanel menu nav navbar navigation toolbar topbar masthead footer footnav share sharing social related recommended pagination pager widget login search skip".split())
-CUT = re.compile(r"[^a-z0-9]+")
+#: Whole classes and ids (fixed values) of containers for adverts, readers' comments and notices.
+NAMES = frozenset("ad ads advert adverts advertisement sponsored comments comment-list commentlist respond cookie-notice cookie-banner notice sidebar newsletter breadcrumbs pagination".split())
+NAMED = frozenset("div section ul ol aside table dl".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "drop", "hash", "chars", "linked")
+    __slots__ = ("tag", "label", "parent", "children", "drop", "hash", "chars", "linked", "depth")
 
     def __init__(self, tag: str, label: str, parent: Node | None, drop: bool):
         self.tag, self.label, self.parent, self.drop = tag, label, parent, drop
         self.children: list = []
+        self.depth = parent.depth + 1 if parent else 0
         self.hash = self.chars = self.linked = 0
 
 
@@ -61,46 +69,68 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
         known = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
         label = " ".join((known.get("class", ""), known.get("id", ""), known.get("role", ""))).lower().strip()
         if label and tag not in ("html", "body", "article", "main"):
-            drop |= not NAMES.isdisjoint(CUT.split(label)) or known.get("role", "").lower() in ROLES
+            drop |= tag in NAMED and not NAMES.isdisjoint(label.split()) or known.get("role", "").lower() in ROLES
         drop |= "hidden" in known or known.get("aria-hidden", "").lower() == "true" and tag in BLOCK or "display:none" in known.get("style", "").replace(" ", "").lower()
     return Node(tag, label, parent, drop)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, whether it closes) of every tag, and of comments and declarations with no name.
+    One pass: what was looked for in vain is not looked for again. send() moves on to another place."""
+    pos, quoted, missing = 0, True, set()
+    while (lt := html.find("<", pos)) >= 0:
+        pos = lt + 1
+        head = html[pos : pos + 1]
+        if head in ("!", "?"):
+            if html.startswith("!--", pos):
+                end = html.find("-->", pos + 3)
+                end = len(html) if end < 0 else end + 3
+            else:
+                end = html.find(">", pos) + 1
+            if not end:
+                return
+            pos = (yield lt, end, "", "", False) or end
+            continue
+        closing = head == "/"
+        m = NAME.match(html, pos + closing)
+        if not m:
+            continue
+        at = m.end()
+        while not closing and quoted:
+            stop = STOP.search(html, at)
+            if stop is None:  # only quoted ends follow: from here on they count
+                quoted = False
+            elif stop[0] == ">":
+                at = stop.start()
+                break
+            else:
+                at, close = stop.end(), -1 if stop[0] in missing else html.find(stop[0], stop.end())
+                if close < 0:
+                    missing.add(stop[0])
+                else:
+                    at = close + 1
+        end = html.find(">", at if quoted else m.end()) + 1
+        if not end:
+            return
+        pos = (yield lt, end, m[0].lower(), "" if closing else html[m.end() : end - 1], closing) or end
+
+
 def parse(html: str) -> Node:
     root = Node("html", "", None, False)
-    node, pos, low = root, 0, None
-    for m in iter(lambda: TOKEN.search(html, pos), None):
-        if m.start() > pos:
-            node.children.append(html[pos : m.start()])
-        pos = m.end()
-        tag = m[2]
-        if tag:
-            tag = tag.lower()
-            if tag in ("html", "body"):
-                continue
-            shut = CLOSES.get(tag)
-            if shut:
-                up = node
-                while up is not root and up.tag not in shut and up.tag not in SCOPE:
-                    up = up.parent
-                if up is not root and up.tag in shut:
-                    node = up.parent
-            new = opened(tag, m[3], node)
-            node.children.append(new)
-            if tag in RAW:
-                if low is None:
-                    low = html.lower()
-                    low = low if len(low) == len(html) else None
-                end = (low or html).find("</" + tag, pos)
-                if end < 0:
-                    pos = len(html) if tag in ("script", "style") else pos
-                else:
-                    close = html.find(">", end)
-                    pos = close + 1 if close >= 0 else len(html)
-            elif tag not in VOID and not m[3].endswith("/"):
-                node = new
-        elif m[1]:
-            tag = m[1].lower()
+    node, pos, low, open_ended = root, 0, None, set()
+    source, move = tags(html), None
+    while True:
+        try:
+            start, end, tag, attributes, closing = source.send(move)
+        except StopIteration:
+            break
+        move = None
+        if start > pos:
+            node.children.append(html[pos:start])
+        pos = end
+        if not tag or tag in ("html", "body"):
+            continue
+        if closing:
             up = node
             while up is not root and up.tag != tag:
                 if up.tag in SCOPE and tag not in SCOPE:
@@ -108,6 +138,30 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up is not root and up.tag == tag:
                 node = up.parent
+            continue
+        shut = CLOSES.get(tag)
+        if shut:
+            up = node
+            while up is not root and up.tag not in shut and up.tag not in SCOPE:
+                up = up.parent
+            if up is not root and up.tag in shut:
+                node = up.parent
+        new = opened(tag, attributes, node)
+        node.children.append(new)
+        if tag in RAW:
+            if low is None:
+                low = html.lower()
+                low = low if len(low) == len(html) else html
+            close = -1 if tag in open_ended else low.find("</" + tag, pos)
+            if close >= 0:
+                close = html.find(">", close) + 1
+                move = pos = close or len(html)
+            else:
+                open_ended.add(tag)
+                if tag in ("script", "style"):
+                    move = pos = len(html)
+        elif tag not in VOID and not attributes.endswith("/") and new.depth < DEPTH:
+            node = new
     if pos < len(html):
         node.children.append(html[pos:])
     return root
@@ -187,8 +241,12 @@ def prose(n: Node, inside: bool) -> bool:
     return inside and 2 * n.linked <= n.chars and (n.tag in PROSE or any(type(c) is Node and c.tag in PROSE for c in n.children))
 
 
-def text_of(root: Node, nodes: list[Node], recurring, general) -> str:
-    """The page's text without dropped and recurring elements; recurring, general: hashes from RECUR and MOST pages."""
+def text_of(root: Node, nodes: list[Node], recurring: dict[int, int]) -> str:
+    """The page's text without dropped and recurring elements; recurring: 1, 2, 3 for hashes from RECUR, PROSE_RECUR and
+    MOST pages."""
+    for n in nodes:  # templates go first, so that no recurring teaser passes for the page's article
+        level = recurring.get(n.hash, 0)
+        n.drop |= level > 0 and n.tag in BLOCK and not prose(n, True)
     areas = region(root, nodes)
     inside = areas[0] is not root
     blocks: list[str] = []
@@ -209,7 +267,7 @@ def text_of(root: Node, nodes: list[Node], recurring, general) -> str:
                 piece.append(n)
             elif n is None:
                 cut()
-            elif n.drop or n.tag == "header" and not inside or n.hash in general or n.hash in recurring and not prose(n, inside):
+            elif n.drop or n.tag == "header" and not inside or recurring.get(n.hash, 0) > (2 if inside else 1):
                 cut() if n.tag in BLOCK else piece.append(" ")
             else:
                 block = n.tag in BLOCK
@@ -251,12 +309,13 @@ def page_hashes(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """hash, general: subtrees that recur on a host's different pages, and whether on most of them."""
-    different = page_hashes(pages).groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    """hash, level: subtrees that recur on a host's different pages (1), on PROSE_RECUR (2), and on most of them (3)."""
+    different = page_hashes(pages).groupBy("host", "content").agg(F.min(F.struct(F.xxhash64(F.array_sort("hashes")).alias("h"), "hashes")).alias("x")).select("host", "x.hashes")
     different = materialize(different, "subtrees")
-    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = materialize(different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     counted = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECUR)
-    return counted.join(sizes, "host").filter(F.col("n") >= SHARE * F.col("pages")).groupBy("hash").agg(F.max((F.col("n") >= MOST * F.col("pages")) & (F.col("n") > RECUR)).alias("general"))
+    level = F.when((F.col("n") >= MOST * F.col("pages")) & (F.col("n") > RECUR), 3).when(F.col("n") >= PROSE_RECUR, 2).otherwise(1)
+    return counted.join(sizes, "host").groupBy("hash").agg(F.max(level).alias("level"))
 
 
 def extract(pages: DataFrame, most_broadcast: int = TEMPLATES) -> DataFrame:
@@ -265,37 +324,36 @@ def extract(pages: DataFrame, most_broadcast: int = TEMPLATES) -> DataFrame:
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
     if found.count() <= most_broadcast:
         rows = found.toArrow()
-        at, flag = rows["hash"].to_numpy(), rows["general"].to_numpy(zero_copy_only=False).astype(bool)
+        at, level = rows["hash"].to_numpy(), rows["level"].to_numpy()
         order = np.argsort(at)
-        model = pages.sparkSession.sparkContext.broadcast((at[order], flag[order]))
+        model = pages.sparkSession.sparkContext.broadcast((at[order], level[order]))
 
-        def known(b: pa.RecordBatch, k: int, nodes: list[Node]) -> tuple[set, set]:
-            at, flag = model.value
+        def known(b: pa.RecordBatch, k: int, nodes: list[Node]) -> dict[int, int]:
+            at, level = model.value
             own = signed(n.hash for n in nodes)
             if not len(at) or not len(own):
-                return set(), set()
+                return {}
             place = np.minimum(np.searchsorted(at, own), len(at) - 1)
             hit = at[place] == own
-            return {n.hash for n, h in zip(nodes, hit, strict=True) if h}, {n.hash for n, h in zip(nodes, hit & flag[place], strict=True) if h}
+            return {n.hash: int(x) for n, h, x in zip(nodes, hit, level[place], strict=True) if h}
 
         source = pages.select("page_id", "url", "html")
     else:
         key = [F.xxhash64("url", "html").alias("k1"), F.xxhash64("html", "url").alias("k2")]
         source = pages.select("page_id", "url", "html", *key)
         own = map_text(source, ["k1", "k2", "url", "html"], listed, "k1 bigint, k2 bigint, hashes array<bigint>").distinct()
-        lists = own.select("k1", "k2", F.explode("hashes").alias("hash")).join(found, "hash").groupBy("k1", "k2").agg(F.collect_list("hash").alias("hit"), F.collect_list(F.when(F.col("general"), F.col("hash"))).alias("general"))
-        source = source.join(lists, ["k1", "k2"], "left").select("page_id", "url", "html", "hit", "general")
+        lists = own.select("k1", "k2", F.explode("hashes").alias("hash")).join(found, "hash").groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "level")).alias("hit"))
+        source = source.join(lists, ["k1", "k2"], "left").select("page_id", "url", "html", "hit")
 
-        def known(b: pa.RecordBatch, k: int, nodes: list[Node]) -> tuple[set, set]:
-            hit, general = b.column(3)[k].as_py() or [], b.column(4)[k].as_py() or []
-            return {x & (2**64 - 1) for x in hit}, {x & (2**64 - 1) for x in general}
+        def known(b: pa.RecordBatch, k: int, nodes: list[Node]) -> dict[int, int]:
+            return {x["hash"] & (2**64 - 1): x["level"] for x in b.column(3)[k].as_py() or []}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for k, (url, html) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
             root = parse(html or "")
             nodes = measure(root, host_of(url))
-            texts.append(text_of(root, nodes, *known(b, k, countable(nodes))))
+            texts.append(text_of(root, nodes, known(b, k, countable(nodes))))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_text(source, source.columns, run, kinds)

@@ -41,7 +41,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 from evidentia.llm.common import listed, map_text, materialize
 
 #: Bytes of an anchor, bytes of a text that are hashed at once, different contexts in a chunk, and chunks of an anchor.
-ANCHOR, SEGMENT, CHUNK, TILES = 64, 1 << 20, 500, 16
+ANCHOR, SEGMENT, CHUNK, TILES = 64, 1 << 20, 2000, 16
 #: Bytes of contexts whose suffixes are sorted together.
 BATCH = 3 << 20
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

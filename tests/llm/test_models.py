@@ -85,7 +85,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>x</style></head><bod
 def test_page_text():
     root = pages.parse(PAGE.format(n=1))
     nodes = pages.measure(root, "h")
-    assert pages.text_of(root, nodes, set(), set()) == "Head & line 1\n\nFirst para1 more\n\nSecond bold\n\nThird é"
+    assert pages.text_of(root, nodes, {}) == "Head & line 1\n\nFirst para1 more\n\nSecond bold\n\nThird é"
 
 
 def test_templates_by_host(spark):
@@ -131,3 +131,35 @@ def test_interactions_equal_the_sum_over_pairs():
     x, fm.v, fm.w = rng.random(9), rng.random((9, 4)), rng.random(9)
     pairs = sum(x[i] * x[j] * (fm.v[i] @ fm.v[j]) for i in range(9) for j in range(i))
     assert np.isclose(fm.raw(np.array([0]), np.arange(9), x)[0][0], fm.w @ x + pairs)
+
+
+SITE = """<body><div class=top><a href=/>Home</a> <a href=/x>News</a> <b>{shop}</b></div><div class=main><div class=lead><p>Story {n} begins.</p><p>It goes on with {n} more.</p></div>
+<ul class="menu"><li>Soup {n}</li><li>Bread {n}</li></ul><p>A <a class="related" href=#>link {n}</a> and a <span class="share price">price {n}</span>.</p></div>
+<div class=low><p>All of this site is made by {shop}.</p><p>Call us.</p></div><div class="comments"><p>Reader {n} says no.</p></div></body>"""
+
+
+def test_templates_decide_without_an_article(spark, monkeypatch):
+    """Twenty pages a host and no article: what recurs goes, what differs stays, and only by counting."""
+    rows = [(100 * h + n, f"https://shop{h}.example/p/{n}", SITE.format(shop=f"Shop {h}", n=1000 * h + n), "x") for h in range(3) for n in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    want = {r[0]: "\n\n".join(f"Story {k} begins.|It goes on with {k} more.|Soup {k}|Bread {k}|A link {k} and a price {k}.".split("|")) for r in rows for k in [1000 * (r[0] // 100) + r[0] % 100]}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in pages.extract(df.repartition(7)).collect()} == want
+    alone = df.filter("page_id = 5")
+    assert "Home News Shop 0" in pages.extract(alone).collect()[0].text
+
+
+def test_broken_pages_in_linear_time():
+    import time
+
+    for piece in ("<a ", '<a t="', "<a 'x>' ", "<title>", "<b><p>", "</", "<!", "<a t=\"'>", "<div><b>", "&amp;<", "<svg><a"):
+        began = time.time()
+        html = "<p>start</p>" + piece * (1_000_000 // len(piece))
+        nodes = pages.measure(root := pages.parse(html), "h")
+        assert pages.text_of(root, nodes, {}).startswith("start")
+        assert time.time() - began < 20, piece
+
+
+def test_tags():
+    got = [(html[a:b], name, closing) for html in ["x<a href='>'>y</a><!-- <b> --><br/>< p><i", "<p class=\"a>b"] for a, b, name, _, closing in pages.tags(html)]
+    assert got == [("<a href='>'>", "a", False), ("</a>", "a", True), ("<!-- <b> -->", "", False), ("<br/>", "br", False), ('<p class="a>', "p", False)]
