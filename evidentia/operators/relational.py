@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -97,3 +98,11 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_days: int = 7) -> Dat
     pairs = spread(left, "l").join(spread(right, "r"), "bucket")
     first = F.greatest("l_start", "r_start")
     return pairs.filter((first <= F.least("l_end", "r_end")) & (F.col("bucket") == at(first))).drop("bucket")
+
+
+def against(rows: DataFrame, asked: DataFrame, size: int = 500) -> DataFrame:
+    """Every row beside every asked row (a struct q). Asked rows come in blocks of about size, so that rows are read
+    once for each block and Spark may broadcast the blocks or spread them."""
+    n = max(1, math.ceil(asked.count() / size))
+    blocks = asked.groupBy(F.pmod(F.xxhash64(*asked.columns), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(*asked.columns)).alias("_asked"))
+    return rows.crossJoin(blocks.select("_asked")).select(*rows.columns, F.explode("_asked").alias("q"))

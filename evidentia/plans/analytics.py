@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import scores as S
 from evidentia.operators import audit, behavior, fusion, graph, timeline
 from evidentia.operators.dedup import lineage_roots
+from evidentia.operators.relational import against
 from evidentia.operators.resolution import set_pairs
 from evidentia.plans.registry import query
 from evidentia.sources.tables import edges, flows, observations, table
@@ -97,22 +98,23 @@ def burstiness(spark: SparkSession, sf: str) -> DataFrame:
     return behavior.burstiness(behavior.gaps(observations(spark, sf))).select("subject_id", F.round("burstiness", 5).alias("burstiness"))
 
 
-HOURS = "(select user_id, list(n order by h) hrs from (select u.user_id, h, count(e.event_id) n from (select distinct user_id from events where user_id <= 60) u cross join range(24) t(h) left join events e on e.user_id = u.user_id and hour(e.ts) = h group by 1, 2) group by 1)"
+HOURS = "(select user_id, list(n order by h) hrs from (select u.user_id, h, count(e.event_id) n from (select distinct user_id from events) u cross join range(24) t(h) left join events e on e.user_id = u.user_id and hour(e.ts) = h group by 1, 2) group by 1)"
 
 
-@query(f"select a.user_id l, b.user_id r, round(list_cosine_similarity(cast(a.hrs as double[]), cast(b.hrs as double[])), 5) likeness from {HOURS} a join {HOURS} b on a.user_id < b.user_id and a.user_id <= 20")
+@query(f"select a.user_id l, b.user_id r, round(list_cosine_similarity(cast(a.hrs as double[]), cast(b.hrs as double[])), 5) likeness from {HOURS} a join {HOURS} b on a.user_id <> b.user_id and a.user_id % 20 = 0")
 def profile_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated set of subjects against a stated watch list."""
-    p = behavior.profile(observations(spark, sf).filter("subject_id <= 60")).select("subject_id", "hours")
-    a, b = p.alias("l"), F.broadcast(p.filter("subject_id <= 20")).alias("r")  # 20 subjects
-    return a.join(b, F.col("r.subject_id") < F.col("l.subject_id")).select(F.round(S.cosine(F.col("l.hours"), F.col("r.hours")), 5).alias("likeness"), F.col("r.subject_id").alias("low"), F.col("l.subject_id").alias("high")).withColumnsRenamed({"low": "l", "high": "r"})
+    """Every twentieth subject against all others."""
+    return profile_pairs(spark, sf).select("l", "r", F.round(S.cosine(F.col("q.hours"), F.col("hours")), 5).alias("likeness"))
 
 
-@query(f"with h as (select user_id, list_transform(hrs, lambda x: x / list_sum(hrs)) p from {HOURS}) select a.user_id l, b.user_id r, round(list_sum(list_transform(list_zip(a.p, b.p), lambda z: case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) / 2 else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) / 2 else 0 end)), 5) jsd from h a join h b on a.user_id < b.user_id and a.user_id <= 20")
+def profile_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = behavior.profile(observations(spark, sf)).select("subject_id", "hours")
+    return against(p, p.filter("subject_id % 20 = 0")).filter("q.subject_id <> subject_id").select(F.col("q.subject_id").alias("l"), F.col("subject_id").alias("r"), "q", "hours")
+
+
+@query(f"with h as (select user_id, list_transform(hrs, lambda x: x / list_sum(hrs)) p from {HOURS}) select a.user_id l, b.user_id r, round(list_sum(list_transform(list_zip(a.p, b.p), lambda z: case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) / 2 else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) / 2 else 0 end)), 5) jsd from h a join h b on a.user_id <> b.user_id and a.user_id % 20 = 0")
 def js_divergence_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = behavior.profile(observations(spark, sf).filter("subject_id <= 60")).select("subject_id", "hours")
-    a, b = p.alias("l"), F.broadcast(p.filter("subject_id <= 20")).alias("r")  # 20 subjects
-    return a.join(b, F.col("r.subject_id") < F.col("l.subject_id")).select(F.round(behavior.jensen_shannon(F.col("r.hours"), F.col("l.hours")), 5).alias("jsd"), F.col("r.subject_id").alias("low"), F.col("l.subject_id").alias("high")).withColumnsRenamed({"low": "l", "high": "r"})
+    return profile_pairs(spark, sf).select("l", "r", F.round(behavior.jensen_shannon(F.col("q.hours"), F.col("hours")), 5).alias("jsd"))
 
 
 @query("select user_id subject_id, case when count(*) < 12 then 'too few events' when count(distinct cast(ts as date)) < 10 then 'too few days' end reason from events group by 1")
@@ -135,20 +137,21 @@ def wallet_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(edges(spark, sf))
 
 
-NEAR = f"(select distinct a node, b other from {FLOWS} where a in ('c1', 'c2', 'c4', 'c5', 'c7', 'c8', 'c10', 'c11', 'c13', 'c14', 'c16', 'c17', 'c19', 'c20'))"
-WATCH = [f"c{i}" for i in (1, 2, 4, 5, 7, 8, 10, 11, 13, 14, 16, 17, 19, 20)]
+NEAR = f"(select distinct a node, b other from {FLOWS})"
+ASKED = "cast(substr({}, 2) as bigint) % 20 = 0"
 
 
-@query(f"with n as (select node, count(*) k from {NEAR} group by 1) select x.node l, y.node r, count(*) shared, any_value(p.k) + any_value(q.k) - count(*) as \"union\" from {NEAR} x join {NEAR} y on x.other = y.other and x.node < y.node join n p on p.node = x.node join n q on q.node = y.node group by 1, 2")
+@query(f"with n as (select node, count(*) k from {NEAR} group by 1) select x.node l, y.node r, count(*) shared, any_value(p.k) + any_value(q.k) - count(*) as \"union\" from {NEAR} x join {NEAR} y on x.other = y.other and x.node <> y.node join n p on p.node = x.node join n q on q.node = y.node where {ASKED.format('x.node')} group by 1, 2")
 def counterparty_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return set_pairs(edges(spark, sf).filter(F.col("source").isin(WATCH)).select("source", "target"), "source", "target")
+    """Every twentieth customer's wallet against all others that share a counterparty."""
+    return set_pairs(edges(spark, sf).select("source", "target"), "source", "target", ASKED.format("source"))
 
 
-@query(f"select x.b l, y.b r, count(*) shared from {FLOWS} x join {FLOWS} y on x.tx_id = y.tx_id and x.b < y.b where x.b in ('s1', 's2', 's3') group by 1, 2")
+@query(f"select x.b l, y.b r, count(*) shared from {FLOWS} x join {FLOWS} y on x.tx_id = y.tx_id and x.b <> y.b where {ASKED.format('x.b')} group by 1, 2")
 def shared_tx_pairs(spark: SparkSession, sf: str) -> DataFrame:
     f = flows(spark, sf).select("tx_id", "output")
-    x, y = f.filter(F.col("output").isin("s1", "s2", "s3")).alias("x"), f.alias("y")
-    return x.join(y, (F.col("x.tx_id") == F.col("y.tx_id")) & (F.col("x.output") < F.col("y.output"))).groupBy(F.col("x.output").alias("l"), F.col("y.output").alias("r")).agg(F.count(F.lit(1)).alias("shared"))
+    x, y = f.filter(ASKED.format("output")).alias("x"), f.alias("y")
+    return x.join(y, (F.col("x.tx_id") == F.col("y.tx_id")) & (F.col("x.output") != F.col("y.output"))).groupBy(F.col("x.output").alias("l"), F.col("y.output").alias("r")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query(f"with e as (select distinct a, b from {FLOWS}), h1 as (select b node from e where a = 'c1'), h2 as (select a node from e where b in (select node from h1) and a <> 'c1') select 'c1' node, 0 hop union all select node, 1 from (select distinct node from h1) union all select distinct node, 2 from h2")
@@ -169,10 +172,9 @@ def time_overlap_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.active(edges(spark, sf), since=datetime(1996, 3, 1), until=datetime(1996, 4, 1)).filter("n > 1").select("source", "target")
 
 
-@query(f"with e as (select distinct a, b from {FLOWS} where b in ('s1', 's2', 's3', 's4', 's5')), n as (select b node, a other from e), k as (select node, count(*) k from n group by 1) select x.node l, y.node r, round(count(*) / (any_value(p.k) + any_value(q.k) - count(*)), 6) jaccard, round(2 * count(*) / (any_value(p.k) + any_value(q.k)), 6) dice from n x join n y on x.other = y.other and x.node < y.node join k p on p.node = x.node join k q on q.node = y.node group by 1, 2")
+@query(f"with e as (select distinct a, b from {FLOWS}), n as (select b node, a other from e), k as (select node, count(*) k from n group by 1) select x.node l, y.node r, round(count(*) / (any_value(p.k) + any_value(q.k) - count(*)), 6) jaccard, round(2 * count(*) / (any_value(p.k) + any_value(q.k)), 6) dice from n x join n y on x.other = y.other and x.node < y.node join k p on p.node = x.node join k q on q.node = y.node group by 1, 2")
 def neighborhood_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf).filter(F.col("target").isin("s1", "s2", "s3", "s4", "s5"))
-    return graph.similar_neighbourhoods(e).filter(F.col("l").startswith("s")).select("l", "r", F.round("jaccard", 6).alias("jaccard"), F.round("dice", 6).alias("dice"))
+    return graph.similar_neighbourhoods(edges(spark, sf), "node like 's%'").filter("l < r").select("l", "r", F.round("jaccard", 6).alias("jaccard"), F.round("dice", 6).alias("dice"))
 
 
 @query(f"with e as (select distinct a, b from {FLOWS}), h1 as (select b n from e where a = 'c1'), h2 as (select a n from e where b in (select n from h1)), h3 as (select b n from e where a in (select n from h2)) select case when exists (select 1 from h1 where n = 's7') then 1 when exists (select 1 from h3 where n = 's7') then 3 end hops")

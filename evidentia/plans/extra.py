@@ -15,16 +15,17 @@ from evidentia.sources.tables import edges, evidence, observations, table
 from evidentia.sources.tables import flows as flow_rows
 
 FLOWS = "(select distinct o_orderkey tx_id, 'c' || o_custkey a, 's' || l_suppkey b, o_totalprice amount, o_orderdate ts from orders join lineitem on l_orderkey = o_orderkey)"
-PAIRS = [(f"c{i}", f"c{j}") for i in (1, 2, 4, 5, 7) for j in (8, 10, 11, 13, 14)]
 
 
-@query(f"""with p as (select 'c' || l l, 'c' || r r from (values (1), (2), (4), (5), (7)) x(l) cross join (values (8), (10), (11), (13), (14)) y(r)), n as (select distinct a w, b o from {FLOWS}), t as (select distinct a w, tx_id from {FLOWS}),
+@query(f"""with p as (select 'c' || a.c_custkey l, 'c' || b.c_custkey r from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey <> b.c_custkey where a.c_custkey % 20 = 0), n as (select distinct a w, b o from {FLOWS}), t as (select distinct a w, tx_id from {FLOWS}),
 d as (select w, count(*) d from n group by 1), f as (select w, count(*) f from t group by 1), o as (select p.l, p.r, count(*) k from p join n x on x.w = p.l join n y on y.w = p.r and y.o = x.o group by 1, 2)
 select p.l, p.r, round(case when a.d is null or b.d is null then 0 else least(a.d, b.d) / greatest(a.d, b.d) end, 6) degree_ratio, round(case when fa.f is null or fb.f is null then 0 else least(fa.f, fb.f) / greatest(fa.f, fb.f) end, 6) frequency_ratio, round(case when a.d is null or b.d is null then 0 else coalesce(k, 0) / (a.d + b.d - coalesce(k, 0)) end, 6) counterparty_jaccard, 0.0::double co_occurrence
 from p left join d a on a.w = p.l left join d b on b.w = p.r left join f fa on fa.w = p.l left join f fb on fb.w = p.r left join o on o.l = p.l and o.r = p.r""")
 def wallet_pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = spark.createDataFrame(PAIRS, "l string, r string")
+    """Every twentieth wallet against all others of its nation."""
     owner = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("wallet"), F.col("c_nationkey").alias("cluster_id"))
+    asked = owner.filter("cast(substr(wallet, 2) as bigint) % 20 = 0").select(F.col("wallet").alias("l"), "cluster_id")
+    pairs = owner.join(asked, "cluster_id").filter("l <> wallet").select("l", F.col("wallet").alias("r"))
     f = flows.pair_features(flow_rows(spark, sf), pairs, owner)
     return f.select("l", "r", *[F.round(c, 6).alias(c) for c in ("degree_ratio", "frequency_ratio", "counterparty_jaccard", "co_occurrence")])
 
@@ -57,10 +58,10 @@ def style_type_token(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def style_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items against the first of them."""
+    """Every twentieth benchmark item against all items."""
     m = table(spark, sf, "benchmark").select("item_id", stylometry.features("text").alias("f"), stylometry.hashed_vector("text").alias("v"))
-    one = F.broadcast(m.filter("item_id = 0").limit(1).select(F.col("f").alias("g"), F.col("v").alias("u")))
-    return m.crossJoin(one).select("item_id", F.round(stylometry.agreement(F.col("f"), F.col("g")), 6).alias("agreement"), F.round(S.cosine(F.col("v"), F.col("u")), 6).alias("cosine"))
+    both = relational.against(m, m.filter("item_id % 20 = 0"))
+    return both.select(F.col("q.item_id").alias("asked"), "item_id", F.round(stylometry.agreement(F.col("f"), F.col("q.f")), 6).alias("agreement"), F.round(S.cosine(F.col("v"), F.col("q.v")), 6).alias("cosine"))
 
 
 @query("""with w as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+') w from benchmark), s as (select distinct item_id, array_to_string(w[i:i + 4], ' ') g from (select item_id, w, unnest(range(1, len(w) - 3)) i from w where len(w) >= 5)), n as (select item_id, count(*) n from s group by 1),
@@ -75,11 +76,11 @@ def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
     return k.join(n, "item_id").select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("containment"))
 
 
-@query("with e as (select vec_id, label, cast(embedding as double[]) v from embeddings), q as (select label l2, v q from e where vec_id = 0) select vec_id, round(1 / (1 + exp(-2 * list_cosine_similarity(v, q))), 6) score from e cross join q")
+@query("with e as (select vec_id, cast(embedding as double[]) v from embeddings), q as (select vec_id asked, v q from e where vec_id % 20 = 0) select asked, vec_id, round(1 / (1 + exp(-2 * list_cosine_similarity(v, q))), 6) score from e cross join q")
 def pair_score_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))
-    return e.crossJoin(q).select("vec_id", F.round(encoders.pair_score(F.col("embedding"), F.col("q")), 6).alias("score"))
+    """Every twentieth vector against all vectors."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return relational.against(e, e.filter("vec_id % 20 = 0")).select(F.col("q.vec_id").alias("asked"), "vec_id", F.round(encoders.pair_score(F.col("embedding"), F.col("q.embedding")), 6).alias("score"))
 
 
 @query("select c_custkey actor_id, case when cast(('0x' || substr(sha256('26151|' || c_nationkey), 1, 8)) as bigint) / 4294967296 < 0.65 then 'train' else 'test' end part from customer")

@@ -93,11 +93,11 @@ def double_self_alias_join(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy(F.col("o_orderkey").alias("case_id"), F.col("a.n_name").alias("actor_nation"), F.col("b.n_name").alias("source_nation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select distinct user_id, event_type from events where event_id % 3 = 0 except select user_id, event_type from events where event_id % 3 = 1")
+@query("select distinct user_id, event_type, cast(ts as date) as \"day\" from events where hour(ts) >= 12 except select user_id, event_type, cast(ts as date) from events where hour(ts) < 12")
 def anti_join_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    new, stored = e.filter("event_id % 3 = 0").select("user_id", "event_type"), e.filter("event_id % 3 = 1").select("user_id", "event_type")
-    return R.missing_keys(new, stored, ["user_id", "event_type"])
+    """What came in the afternoon, against what was stored in the morning of the day."""
+    e, keys = table(spark, sf, "events").withColumn("day", F.to_date("ts")), ["user_id", "event_type", "day"]
+    return R.missing_keys(e.filter(F.hour("ts") >= 12).select(*keys), e.filter(F.hour("ts") < 12).select(*keys), keys)
 
 
 @query(f"select count(*) n, min(actor_id) lowest from {ACTORS} where actor_id in (select o_custkey from orders where o_totalprice > 200000)")
@@ -219,9 +219,9 @@ def dedupe_then_cap(spark: SparkSession, sf: str) -> DataFrame:
 WINDOWS = "(select l_suppkey id, min(l_shipdate) as start, min(l_shipdate) + interval 40 day as \"end\" from lineitem where l_returnflag = '{}' group by 1)"
 
 
-@query(f"select l.id l_id, r.id r_id from {WINDOWS.format('A')} l join {WINDOWS.format('N')} r on greatest(l.start, r.start) <= least(l.\"end\", r.\"end\") where l.id <= 300 and r.id <= 300")
+@query(f"select l.id l_id, r.id r_id from {WINDOWS.format('A')} l join {WINDOWS.format('N')} r on greatest(l.start, r.start) <= least(l.\"end\", r.\"end\")")
 def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").filter("l_suppkey <= 300")
+    line = table(spark, sf, "lineitem")
     side = lambda flag: line.filter(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_shipdate").cast("timestamp_ntz").alias("start")).withColumn("end", F.col("start") + F.expr("interval 40 days"))
     return R.overlap_join(side("A"), side("N")).select("l_id", "r_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.functions.scores import cosine, dice, jaccard, levenshtein_similarity
 from evidentia.operators import search as S
+from evidentia.operators.relational import against
 from evidentia.plans.registry import query
 from evidentia.sources.tables import table
 
@@ -64,12 +65,11 @@ def tfidf_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sparse_cosine_pairs(tfidf(b, X.tokens(F.col("text")), min_df=2)).select(F.col("l"), F.col("r"), F.round("cosine", 5).alias("cosine"))
 
 
-@query("with d as (select vec_id, label, embedding from embeddings where vec_id < 40), p as (select a.vec_id l, b.vec_id r, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) c from d a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) select l, r, cast(k as bigint) as rank from (select l, r, row_number() over (partition by l order by round(c, 9) desc, r) k from p) where k <= 5")
+@query("with d as (select vec_id, label, embedding from embeddings where vec_id % 20 = 0), p as (select a.vec_id l, b.vec_id r, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) c from d a join embeddings b on a.vec_id <> b.vec_id) select l, r, cast(k as bigint) as rank from (select l, r, row_number() over (partition by l order by round(c, 9) desc, r) k from p) where k <= 5")
 def embedding_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """For a stated set of query vectors, the five nearest of the same label."""
-    e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 40").select(F.col("vec_id").alias("l"), "label", F.col("embedding").alias("q")))  # at most 40 rows
-    p = e.join(q, "label").filter("vec_id <> l").select("l", F.col("vec_id").alias("r"), F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("c"))
+    """For every twentieth vector, the five nearest of all others."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    p = against(e, e.filter("vec_id % 20 = 0")).filter("q.vec_id <> vec_id").select(F.col("q.vec_id").alias("l"), F.col("vec_id").alias("r"), F.round(cosine(F.col("q.embedding"), F.col("embedding")), 9).alias("c"))
     w = Window.partitionBy("l").orderBy(F.desc("c"), "r")
     return p.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5").select("l", "r", "rank")
 
