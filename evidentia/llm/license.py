@@ -84,13 +84,15 @@ def template_matches(documents: DataFrame, threshold: float = 0.8, templates: di
     # As long as the fixed list of templates: a few hundred short rows at most.
     side = F.broadcast(spark.createDataFrame(rows, "label string, template int, t array<int>, least int, length int, t_at int, token int"))
     rank = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
+    # The map is searched one by one, so other words are sorted out by a hash set first.
+    ranked_word = lambda x: F.when(x.isin(vocabulary), F.element_at(rank, x))
     text = F.col("text")
     # Substring tests are wider than the token test and cheap; they only decide which texts are cut into blocks.
     blocks = (
         documents.filter(has_any(F.lower(text), sorted(prefix)))
         .select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.filter(F.split(text, r"\n|(?<=[.!?;])[ \t]+"), lambda b: has_any(F.lower(b), sorted(prefix)))).alias("block"))
         .select("doc_id", "text_hash", words_of(F.col("block")).alias("w"))
-        .select("doc_id", "text_hash", F.sort_array(F.array_distinct(F.filter(F.transform("w", lambda x: F.element_at(rank, x)), lambda r: r.isNotNull()))).alias("b"))
+        .select("doc_id", "text_hash", F.sort_array(F.array_distinct(F.filter(F.transform("w", ranked_word), lambda r: r.isNotNull()))).alias("b"))
     )
     pairs = (
         blocks.select("doc_id", "text_hash", "b", F.posexplode("b").alias("b_at", "token"))
@@ -101,18 +103,12 @@ def template_matches(documents: DataFrame, threshold: float = 0.8, templates: di
         .filter(F.col("overlap") >= F.col("least"))
     )
     # Windows of a template's length over the whole text around its prefix tokens; null ranks are other words.
-    whole = documents.filter(has_any(F.lower(text), sorted(prefix)) & enough).select("doc_id", F.xxhash64(text).alias("text_hash"), F.transform(words_of(text), lambda x: F.element_at(rank, x)).alias("r"))
-    # Only places of prefix tokens become rows, each with the words that a window over it can reach.
-    reach, ranks = max(n for _, _, n, _ in sets), sorted({r[-1] for r in rows})
-    places = F.filter(F.transform("r", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda p: p["token"].isin(ranks))
-    lo = lambda p: F.greatest(F.lit(0), p["at"] - (reach - 1))
-    near = F.transform(places, lambda p: F.struct(p["token"].alias("token"), (p["at"] - lo(p)).alias("at"), F.slice("r", lo(p) + 1, 2 * reach - 1).alias("near")))
+    whole = documents.filter(has_any(F.lower(text), sorted(prefix)) & enough).select("doc_id", F.xxhash64(text).alias("text_hash"), F.transform(words_of(text), ranked_word).alias("r"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("length") + 1), F.col("at"))
     windows = (
-        whole.select("doc_id", "text_hash", F.explode(near).alias("x"))
-        .select("doc_id", "text_hash", "x.*")
+        whole.select("doc_id", "text_hash", "r", F.posexplode("r").alias("at", "token"))
         .join(side, "token")
-        .withColumn("overlap", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("length")), F.col("t"))))))
+        .withColumn("overlap", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("r", i + 1, F.col("length")), F.col("t"))))))
         .filter(F.col("overlap") >= F.col("least"))
     )
     found = pairs.select("doc_id", "text_hash", "label", "overlap", "t").unionByName(windows.select("doc_id", "text_hash", "label", "overlap", "t"))
