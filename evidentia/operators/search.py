@@ -12,12 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.scores import dice, jaccard
-from evidentia.functions.text import padded_trigrams, tokens
+from evidentia.functions.text import tokens
+from evidentia.operators.dedup import checkpointed
+from evidentia.operators.relational import all_of
 
 K1, B = 1.2, 0.75
 EXACT_BONUS, PHRASE_BONUS = 2.0, 3.0
 LEXICAL, SEMANTIC = 0.7, 0.3
+#: Trigrams of words divided by spaces, one at each place (not inside a surrogate pair).
+TRIGRAM = r"(?![\uDC00-\uDFFF])(?=([^ ]{3}))"
 
 
 @dataclass(frozen=True)
@@ -59,63 +62,98 @@ def postings(documents: DataFrame, fields: list[str]) -> DataFrame:
     return out.groupBy("token", "doc_id", "field", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(documents: DataFrame, terms: list[str], body: str = "text", condition: Column | None = None, hits: int = 1) -> DataFrame:
-    """doc_id, lexical of the documents with at least that many of the terms.
-
-    One pass over the texts: each document keeps its length and the counts of the query's terms only, so nothing of
-    the size of the texts is shuffled. The statistics are one row."""
-    terms = list(dict.fromkeys(terms))
-    w = tokens(F.coalesce(F.col(body), F.lit("")))
-    d = documents.select("doc_id", (condition if condition is not None else F.lit(True)).alias("kept"), w.alias("w"))
-    d = d.select("doc_id", "kept", F.size("w").alias("length"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    d = d.filter("kept").crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
+def _counts(documents: DataFrame, words: list[str], weights: dict[str, float], condition: Column | None, hybrid: bool) -> DataFrame:
+    """One row of numbers for each document, from one pass over the texts: length, the count and the weighted frequency
+    of each distinct word asked for, the fields with a word, the fields with the phrase, whether a whole field is the
+    query, and what the sets of words and trigrams share with the query's.
+
+    The rows are written, so that statistics, greatest score and scores don't read the texts again."""
+    fields, terms = list(weights), list(dict.fromkeys(words))
+    kept = F.coalesce(condition, F.lit(False)) if condition is not None else F.lit(True)
+    d = documents.select("doc_id", kept.alias("kept"), *[tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"w{j}") for j, f in enumerate(fields)])
+    sizes = [F.size(f"w{j}") for j in range(len(fields))]
+    n = lambda j, t: sizes[j] - F.size(F.array_remove(f"w{j}", t))
+    per_field = [F.array(*[n(j, t) for t in terms]).alias(f"c{j}") for j in range(len(fields))]
+    lines = [F.concat(F.lit(" "), F.array_join(f"w{j}", " "), F.lit(" ")).alias(f"l{j}") for j in range(len(fields))]
+    words_set = F.array_distinct(F.concat(*[f"w{j}" for j in range(len(fields))])).alias("u")
+    d = d.select("doc_id", "kept", sum(sizes[1:], sizes[0]).alias("length"), *per_field, *lines, *([words_set] if hybrid else []))
+    asked = " " + " ".join(words) + " "
+    named = lambda test: F.array_compact(F.array(*[F.when(test(j), F.lit(f)) for j, f in sorted(enumerate(fields), key=lambda x: x[1])]))
+    count = lambda i, by: sum((F.col(f"c{j}")[i] * by(f) for j, f in enumerate(fields[1:], 1)), F.col("c0")[i] * by(fields[0]))
+    out = [
+        F.array(*[count(i, lambda f: 1) for i in range(len(terms))]).alias("n"),
+        F.array(*[count(i, lambda f: float(weights[f])) for i in range(len(terms))]).alias("tf"),
+        named(lambda j: F.array_max(f"c{j}") > 0).alias("with_word"),
+        named(lambda j: F.contains(f"l{j}", F.lit(asked))).alias("with_phrase"),
+        F.array_contains(F.array(*[f"l{j}" for j in range(len(fields))]), asked).alias("whole"),
+    ]
+    if not hybrid:
+        return checkpointed(d.select("doc_id", "kept", "length", *out), "search")
+    padded = F.concat(F.lit("##"), F.array_join("u", "## ##"), F.lit("##"))
+    grams = F.array_distinct(F.regexp_extract_all(F.when(F.col("kept") & (F.size("u") > 0), padded).otherwise(""), F.lit(TRIGRAM), 1))
+    d = d.select("doc_id", "kept", "length", *out, F.size("u").alias("words"), F.size(F.array_intersect("u", F.array(*map(F.lit, terms)))).alias("words_shared"), grams.alias("g"))
+    asked_grams = sorted({f"##{t}##"[i : i + 3] for t in terms for i in range(len(t) + 2)})
+    shared = F.size(F.array_intersect("g", F.array(*map(F.lit, asked_grams))))
+    dice = 2 * shared / (F.size("g") + len(asked_grams))
+    jaccard = F.col("words_shared") / (F.col("words") + len(terms) - F.col("words_shared"))
+    return checkpointed(d.select("doc_id", "kept", "length", "n", "tf", "with_word", "with_phrase", "whole", (0.5 * dice + 0.5 * jaccard).alias("semantic")), "search")
+
+
+def _scored(counts: DataFrame, terms: list[str]) -> DataFrame:
+    """The kept documents with hits (distinct words found) and lexical (BM25); the statistics, one row, come from all."""
+    stats = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col("n")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
+    score, hits = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        tf, df = F.col("tf")[i], F.col(f"df{i}")
         idf = F.ln(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
         score += F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0)
-    found = sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(1, len(terms))), (F.col("tf0") > 0).cast("int"))
-    return d.filter(found >= hits).select("doc_id", score.alias("lexical"))
+        hits += (F.col("n")[i] > 0).cast("int")
+    return counts.filter("kept").crossJoin(F.broadcast(stats)).select(*counts.columns, hits.alias("hits"), score.alias("lexical"))
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
-
-
-def phrase_stands(words: Column, terms: list[str]) -> Column:
-    """Whether the terms stand side by side in the array of words."""
-    n = len(terms)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.slice(words, i, F.lit(n)) == F.array(*map(F.lit, terms)))
+def bm25(documents: DataFrame, terms: list[str], body: str = "text", condition: Column | None = None, hits: int = 1) -> DataFrame:
+    """doc_id, lexical of the documents with at least that many of the terms."""
+    terms = list(dict.fromkeys(terms))
+    return _scored(_counts(documents, terms, {body: 1.0}, condition, False), terms).filter(F.col("hits") >= hits).select("doc_id", "lexical")
 
 
 def search(documents: DataFrame, query: SearchQuery, body: str = "text", condition: Column | None = None) -> DataFrame:
-    """doc_id, score, lexical, semantic, matched_terms, total; ordered by score and doc_id, cut at the limit."""
+    """doc_id, score, lexical, semantic, matched_fields, matched_terms, total; ordered by score and doc_id, cut at the
+    limit.
+
+    Fields and their weights are those of the query, or the body alone. Exact needs every word, and a whole field equal
+    to the query earns a bonus; a phrase must stand in one field. matched_fields are sorted (with the phrase for
+    phrases, with a word otherwise), matched_terms keep the query's order. A null field is empty."""
     terms = list(dict.fromkeys(query.terms))
-    keep = condition if condition is not None else F.lit(True)
+    none = F.array().cast("array<string>")
     if not terms:
-        out = documents.filter(keep).select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("semantic"), F.array().cast("array<string>").alias("matched_terms"))
+        out = documents.filter(condition if condition is not None else F.lit(True)).select("doc_id", *[F.lit(0.0).alias(c) for c in ("score", "lexical", "semantic")], none.alias("matched_fields"), none.alias("matched_terms"))
         out = out.crossJoin(F.broadcast(out.agg(F.count(F.lit(1)).alias("total")))).orderBy("doc_id")
         return out if query.limit is None else out.limit(query.limit)
-    need = 1 if query.mode == "terms" else len(terms)
-    lexical = bm25(documents, terms, body, keep, 0 if query.hybrid and query.mode == "terms" else need)
-    w = documents.filter(keep).select("doc_id", tokens(F.coalesce(F.col(body), F.lit(""))).alias("w"))
+    found = _scored(_counts(documents, query.terms, query.weights or {body: 1.0}, condition, query.hybrid), terms)
     if query.mode == "phrase":
-        w = w.filter(phrase_stands(F.col("w"), query.terms))
-    w = w.withColumn("matched_terms", F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains("w", t)))
-    bonus = F.lit(PHRASE_BONUS) if query.mode == "phrase" else F.when(F.col("w") == F.array(*map(F.lit, query.terms)), EXACT_BONUS).otherwise(0.0) if query.mode == "exact" else F.lit(0.0)
-    semantic = F.lit(0.0)
-    if query.hybrid:
-        q = F.array(*map(F.lit, terms))
-        # Both sets come from the distinct words, and are bound once for the several sizes taken of them.
-        bound = F.transform(F.array(F.array_distinct("w")), lambda u: F.element_at(F.transform(F.array(padded_trigrams(u)), lambda t: 0.5 * dice(padded_trigrams(q), t) + 0.5 * jaccard(q, u)), 1))
-        semantic = F.element_at(bound, 1)
-    found = w.join(lexical, "doc_id").select("doc_id", (F.col("lexical") + bonus).alias("lexical"), semantic.alias("semantic"), "matched_terms")
+        found = found.filter(F.size("with_phrase") > 0).withColumn("lexical", F.col("lexical") + PHRASE_BONUS)
+    elif query.mode == "exact":
+        found = found.filter(F.col("hits") == len(terms)).withColumn("lexical", F.col("lexical") + F.when(F.col("whole"), EXACT_BONUS).otherwise(0.0))
+    elif not query.hybrid:
+        found = found.filter("hits > 0")
     if query.hybrid:
-        top = found.agg(F.max("lexical").alias("top"), F.count_if((F.col("lexical") > 0) | (F.col("semantic") > 0)).alias("total"))
-        found = found.crossJoin(F.broadcast(top)).filter("lexical > 0 or semantic > 0")
-        found = found.withColumn("score", LEXICAL * F.when(F.col("top") > 0, F.col("lexical") / F.col("top")).otherwise(0.0) + SEMANTIC * F.col("semantic")).drop("top")
+        found = found.filter("lexical > 0 or semantic > 0")
+        top = found.agg(F.max("lexical").alias("top"), F.count(F.lit(1)).alias("total"))
+        found = found.crossJoin(F.broadcast(top)).withColumn("score", LEXICAL * F.when(F.col("top") > 0, F.col("lexical") / F.col("top")).otherwise(0.0) + SEMANTIC * F.col("semantic"))
     else:
-        found = found.withColumn("score", F.col("lexical")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
-    out = found.select("doc_id", "score", "lexical", "semantic", "matched_terms", "total").orderBy(F.desc("score"), "doc_id")
+        found = found.withColumn("semantic", F.lit(0.0)).withColumn("score", F.col("lexical")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
+    matched = F.array_compact(F.array(*[F.when(F.col("n")[i] > 0, F.lit(t)) for i, t in enumerate(terms)]))
+    fields = F.col("with_phrase" if query.mode == "phrase" else "with_word")
+    out = found.select("doc_id", "score", "lexical", "semantic", fields.alias("matched_fields"), matched.alias("matched_terms"), "total").orderBy(F.desc("score"), "doc_id")
     return out if query.limit is None else out.limit(query.limit)
+
+
+def passes(since=None, until=None, sources=(), entity_ids=(), case_ids=(), at: str = "ts", source: str = "source", entities: str = "entity_ids", cases: str = "case_ids") -> Column:
+    """Search filters: inclusive time bounds, any of the sources, entities and cases; a missing value fails a filter."""
+    any_of = lambda c, values: F.arrays_overlap(c, F.array(*map(F.lit, values)))
+    parts = [
+        F.col(at) >= F.lit(since) if since is not None else None, F.col(at) <= F.lit(until) if until is not None else None,
+        F.col(source).isin(*sources) if sources else None, any_of(entities, entity_ids) if entity_ids else None, any_of(cases, case_ids) if case_ids else None,
+    ]
+    return F.coalesce(all_of(*parts), F.lit(False))

@@ -109,6 +109,21 @@ def test_search_modes(spark):
         search.SearchQuery("!!")
 
 
+def test_search_fields(spark):
+    docs = spark.createDataFrame([(1, "Red fox", "seen at dawn", ["e1"]), (2, "dawn", "a red fox", ["e2"]), (3, None, None, None), (4, "owl", "fox den red", ["e1"])], "doc_id long, title string, body string, entity_ids array<string>")
+    weights = {"title": 3.0, "body": 1.0}
+    rows = {r.doc_id: r for r in search.search(docs, search.SearchQuery("red fox", "exact", weights=weights)).collect()}
+    assert set(rows) == {1, 2, 4} and rows[1].matched_fields == ["title"] and rows[4].matched_fields == ["body"]
+    assert rows[1].score - search.EXACT_BONUS > rows[2].score and rows[2].matched_terms == ["red", "fox"] and rows[2].total == 3
+    phrase = {r.doc_id: r.matched_fields for r in search.search(docs, search.SearchQuery("red fox", "phrase", weights=weights)).collect()}
+    assert phrase == {1: ["title"], 2: ["body"]}
+    kept = search.search(docs, search.SearchQuery("fox", weights=weights), condition=search.passes(entity_ids=["e1"])).collect()
+    assert [r.doc_id for r in kept] == [1, 4]
+    assert search.search(docs.limit(0), search.SearchQuery("fox", hybrid=True, weights=weights)).collect() == []
+    emoji = search.search(spark.createDataFrame([(1, "\U00020000\U00020001 word")], "doc_id long, text string"), search.SearchQuery("word", hybrid=True)).first()
+    assert emoji.score == pytest.approx(0.7 + 0.3 * (0.5 * 2 * 6 / (10 + 6) + 0.5 / 2))
+
+
 def test_graph(spark):
     rows = [("a", "b", 1), ("b", "c", 2), ("a", "d", 3), ("d", "c", 1), ("x", "y", 5)]
     e = spark.createDataFrame([(s, t, T0, T0 + timedelta(days=n), n) for s, t, n in rows], "source string, target string, first_seen timestamp_ntz, last_seen timestamp_ntz, evidence_id long")
