@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.plans import analytics, extra, quality, relational, search  # noqa: F401  they register their queries
+from evidentia.plans import analytics, dashboards, extra, quality, relational, search  # noqa: F401  they register their queries
 from evidentia.plans.registry import ORACLES, QUERIES
 
 

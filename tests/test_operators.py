@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import scores as S
 from evidentia.functions import text as X
-from evidentia.operators import assistant, audit, dedup, encoders, extraction, flows, fusion, graph, infrastructure, relational, search, stylometry, timeline
+from evidentia.operators import assistant, audit, dashboards, dedup, encoders, extraction, flows, fusion, graph, infrastructure, relational, search, stylometry, timeline
 from evidentia.sources import exports, synthetic
 from evidentia.streaming import activity
 
@@ -254,3 +254,16 @@ def test_streams_agree_with_batch(spark, tmp_path):
     want = [(r.event_id, r.before, r.after) for r in timeline.state_changes(e).collect()]
     assert sorted((r.event_id, r.before, r.after) for r in spark.sql("select * from states").collect()) == sorted(want) and want
     assert [r.n for r in spark.sql("select * from days").collect()] == [r.n for r in timeline.activity_series(e).collect()]
+
+
+def test_dashboard_edges(spark):
+    paths = {r.source_id: r.path for r in dashboards.lineage_path(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 9)], "source_id long, copied_from long")).collect()}
+    assert paths == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4], 5: [9, 5]}
+    with pytest.raises(ValueError):
+        dashboards.lineage_path(spark.createDataFrame([(1, 2), (2, 1)], "source_id long, copied_from long"))
+    r = dashboards.relation_counts(spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, 2), (1, 1)], "source long, target long"))
+    assert {x.id: x.relations for x in r.collect()} == {1: 2, 2: 1, 3: 0}
+    g = dashboards.attribution_posture(spark.createDataFrame([(1, 7, None, {"a": 0.2})], "case_id long, assessment_id long, confidence double, signals map<string,double>"), spark.createDataFrame([(1,), (2,)], "case_id long"))
+    assert {x.case_id: (x.assessment_id, x.strongest, x.signals) for x in g.collect()} == {1: (7, 0.2, 1), 2: (None, None, None)}
+    empty = spark.createDataFrame([], "k array<string>").agg(dashboards.array_total(dashboards.F.col("k")).alias("n")).first()
+    assert empty.n == 0
