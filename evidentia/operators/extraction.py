@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
@@ -58,6 +59,45 @@ def onion_v3_ok(name: str) -> bool:
     return raw[34:] == b"\x03" and hashlib.sha3_256(b".onion checksum" + raw[:32] + b"\x03").digest()[:2] == raw[32:34]
 
 
+def _rotate(x: int, n: int) -> int:
+    return ((x << n) | (x >> (64 - n))) & 0xFFFFFFFFFFFFFFFF if n else x
+
+
+def keccak256(data: bytes) -> bytes:
+    """Keccak with the original padding (hashlib's SHA-3 pads otherwise); round constants and rotations by their rules."""
+    rate = 136
+    padded = bytearray(data + b"\x01" + bytes(-(len(data) + 1) % rate))
+    padded[-1] |= 0x80
+    a = [[0] * 5 for _ in range(5)]
+    for at in range(0, len(padded), rate):
+        for i in range(rate // 8):
+            a[i % 5][i // 5] ^= int.from_bytes(padded[at + 8 * i : at + 8 * i + 8], "little")
+        lfsr = 1
+        for _ in range(24):
+            c = [a[x][0] ^ a[x][1] ^ a[x][2] ^ a[x][3] ^ a[x][4] for x in range(5)]
+            d = [c[(x + 4) % 5] ^ _rotate(c[(x + 1) % 5], 1) for x in range(5)]
+            a = [[v ^ d[x] for v in a[x]] for x in range(5)]
+            x, y, current = 1, 0, a[1][0]
+            for t in range(24):
+                x, y = y, (2 * x + 3 * y) % 5
+                current, a[x][y] = a[x][y], _rotate(current, (t + 1) * (t + 2) // 2 % 64)
+            for y in range(5):
+                row = [a[x][y] for x in range(5)]
+                for x in range(5):
+                    a[x][y] = row[x] ^ (~row[(x + 1) % 5] & row[(x + 2) % 5] & 0xFFFFFFFFFFFFFFFF)
+            for j in range(7):
+                a[0][0] ^= (lfsr & 1) << ((1 << j) - 1)
+                lfsr = (lfsr << 1) ^ (0x171 if lfsr >> 7 else 0)
+    return b"".join(a[i][0].to_bytes(8, "little") for i in range(4))
+
+
+def eth_case_ok(digits: str) -> bool:
+    """The capitals of an address in mixed case (EIP-55): letters over a hash digit of 8 or more are upper."""
+    low = digits.lower()
+    marks = keccak256(low.encode()).hex()
+    return all(c == (k.upper() if int(m, 16) >= 8 else k) for c, k, m in zip(digits, low, marks, strict=False))
+
+
 def host_like(name: str) -> bool:
     last = name.rsplit(".", 1)[-1].lower()
     return last in TLDS and last not in FILES
@@ -105,7 +145,9 @@ def spans(text: str) -> list[tuple[str, int, int, str, float]]:
             add("wallet", *m.span(), m[0], 0.95)
     for m in ETH.finditer(text):
         digits = m[0][2:]
-        add("wallet", *m.span(), m[0].lower(), 0.8 if digits in (digits.lower(), digits.upper()) else 0.95)
+        plain = digits in (digits.lower(), digits.upper())
+        if plain or eth_case_ok(digits):
+            add("wallet", *m.span(), m[0].lower(), 0.8 if plain else 0.95)
     grouped = [m.span() for m in PGP.finditer(text)]
     for lo, hi in grouped:
         add("pgp", lo, hi, re.sub(r"\s", "", text[lo:hi]), 0.95)
@@ -125,8 +167,15 @@ def spans(text: str) -> list[tuple[str, int, int, str, float]]:
     return sorted(((k, lo, hi, v, c) for (k, lo, hi), (v, c) in found.items()), key=lambda x: (x[1], x[2], x[0]))
 
 
+#: What a text must hold for any extractor to find something; texts without it never reach Python.
+ANY = (
+    r"(?U)@[A-Za-z0-9]|://|(?i:www\.)|[A-Za-z0-9]\.[A-Za-z]|\.(?i:onion)|(?i:bc1)|[13][1-9A-HJ-NP-Za-km-z]{25}|0x[0-9A-Fa-f]{40}|[0-9A-F]{4}\s{1,2}[0-9A-F]{4}|[0-9A-Fa-f]{40}"
+    r"|@_| (?:[Mm]arket|[Ff]orum|[Cc]hannel)|(?:vendor|seller|admin|moderator|user|operator|buyer|member)\s"
+)
+
+
 def extract(documents: DataFrame) -> DataFrame:
-    """doc_id, type, start, end, value, confidence of every entity of every whole text."""
+    """doc_id, type, start, end, value, confidence of every entity of every whole text; a null text has none."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "type", "start", "end", "value", "confidence"]
 
@@ -135,4 +184,4 @@ def extract(documents: DataFrame) -> DataFrame:
             rows = [(i, *s) for i, t in zip(b["doc_id"], b["text"], strict=True) if t for s in spans(t)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, type string, start long, end long, value string, confidence double")
+    return documents.select("doc_id", "text").filter(F.col("text").rlike(ANY)).mapInPandas(run, f"doc_id {kind}, type string, start long, end long, value string, confidence double")

@@ -267,3 +267,25 @@ def test_dashboard_edges(spark):
     assert {x.case_id: (x.assessment_id, x.strongest, x.signals) for x in g.collect()} == {1: (7, 0.2, 1), 2: (None, None, None)}
     empty = spark.createDataFrame([], "k array<string>").agg(dashboards.array_total(dashboards.F.col("k")).alias("n")).first()
     assert empty.n == 0
+
+
+def test_eth_checksum(spark):
+    assert extraction.keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    good = "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"  # published with the standard
+    broken = good.replace("aAe", "aae")
+    docs = [(1, f"pay {good} now"), (2, f"pay {broken} now"), (3, f"pay {good.lower()}"), (4, "nothing here. At all"), (5, None), (6, "ask vendor\u00a0nightowl"), (7, "@_fox hi"), (8, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.type, r.value, r.confidence) for r in extraction.extract(df).collect()}
+    assert {(1, "wallet", good.lower(), 0.95), (3, "wallet", good.lower(), 0.8)} <= got and not any(g[0] in (2, 4, 5, 8) for g in got)
+    assert got == {(i, s[0], s[3], s[4]) for i, t in docs if t for s in extraction.spans(t)}
+
+
+def test_running_sums(spark):
+    rows = [(i, (i * 7 % 13) / 13, i % 3 == 0) for i in range(200)]
+    df = spark.createDataFrame([(i, s, int(y)) for i, s, y in rows], "id long, score double, label int")
+    got = {r.id: (r.k, r.hits) for r in fusion.running_sums(df, [fusion.F.desc("score"), fusion.F.asc("id")], {"k": fusion.F.lit(1), "hits": fusion.F.col("label")}).collect()}
+    hits = 0
+    for k, (i, _, y) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        hits += y
+        assert got[i] == (k, hits)
+    assert fusion.running_sums(df.limit(0), [fusion.F.asc("id")], {"k": fusion.F.lit(1)}).count() == 0
