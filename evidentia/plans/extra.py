@@ -121,10 +121,11 @@ def citation_validation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("claim_id", "status", F.size("dropped").cast("bigint").alias("dropped"))
 
 
-@query("with p as (select least(o_custkey, 1 + (o_custkey * 7) % 1500) l, greatest(o_custkey, 1 + (o_custkey * 7) % 1500) r from orders), q as (select least(o_custkey, 1 + (o_custkey * 11) % 1500) l, greatest(o_custkey, 1 + (o_custkey * 11) % 1500) r from orders), a as (select distinct * from p), b as (select distinct * from q), j as (select count(*) filter (where a.l is not null and b.l is not null) tp, count(*) filter (where b.l is null) fp, count(*) filter (where a.l is null) fn from a full join b on a.l = b.l and a.r = b.r) select tp, fp, fn, 1500 * 1499 // 2 - tp - fp - fn tn from j")
+@query("with n as (select count(*) n from customer), p as (select o_custkey l, o_custkey * 7 % n r from orders cross join n), q as (select o_custkey l, o_custkey * 11 % n r from orders cross join n), a as (select distinct least(l, r) l, greatest(l, r) r from p where l <> r), b as (select distinct least(l, r) l, greatest(l, r) r from q where l <> r), j as (select count(*) filter (where a.l is not null and b.l is not null) tp, count(*) filter (where b.l is null) fp, count(*) filter (where a.l is null) fn from a full join b on a.l = b.l and a.r = b.r) select tp, fp, fn, n * (n - 1) // 2 - tp - fp - fn tn from j cross join n")
 def pair_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "customer").count()
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("l"))
-    return fusion.pair_confusion(o.withColumn("r", 1 + (F.col("l") * 7) % 1500), o.withColumn("r", 1 + (F.col("l") * 11) % 1500), 1500)
+    return fusion.pair_confusion(o.withColumn("r", F.col("l") * 7 % n), o.withColumn("r", F.col("l") * 11 % n), n)
 
 
 @query("select user_id, string_agg(topic || '=' || n, ';' order by topic) topics from (select user_id, case when props like '%1%' then 'one' when props like '%2%' then 'two' else 'general' end topic, count(*) n from events group by 1, 2) group by 1")
