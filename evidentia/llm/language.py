@@ -105,11 +105,15 @@ def bundle(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def prototypes(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """The languages, by name, and their unit prototypes. Trains on text and non-null lang outside the held-out fold."""
     train = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    train = train.filter(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
+    # Of a language with n texts some 4 * per_language of the lowest hashes reach the window, however large n is.
+    sizes = train.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    low = train.join(F.broadcast(sizes), F.col("lang") == F.col("l")).filter(F.col("h") / 2.0**64 + 0.5 <= 4.0 * per_language / F.col("n"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    # per_language ids for each language; Spark broadcasts them if they are few.
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
-    sample = train.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang")
+    ranked = low.select("lang", "doc_id", "h").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    # One row for each language, like the model; texts stay where they are read.
+    last = ranked.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("last"))
+    sample = train.join(F.broadcast(last), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("last"))).select("text", "lang")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
