@@ -26,6 +26,27 @@ def corpus(spark: SparkSession, actors: int = 100, posts: int = 1000, seed: int
     return spark.createDataFrame(aliases, "alias_id string, actor_id string, handle string, platform string"), spark.createDataFrame(out, "post_id string, alias_id string, platform string, parent_post_id string, body string, posted_at timestamp_ntz")
 
 
+def styled_corpus(spark: SparkSession, actors: int = 100, posts: int = 1000, styles: int = 12, seed: int = 26151) -> DataFrame:
+    """(id, actor, platform, style, posts, text) of aliases whose actors write in their own way: a style class gives the
+    sign-off and the punctuation, the actor some favourite words; topics are shared. Two to four aliases an actor."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    topics = [word() for _ in range(260)] + ["you", "your", "are", "please", "thanks", "because", "big", "buy", "sell", "good", "help", "start", "the", "and", "with", "for", "is", "not"] * 4
+    signs = [(f"{word()} {word()}", rng.choice(["!", "...", " --", ";", "."])) for _ in range(styles)]
+    aliases = []
+    for a in range(actors):
+        style, own = rng.randrange(styles), [word() + word() for _ in range(5)]
+        aliases += [(f"al{len(aliases) + k:05d}", f"a{a:04d}", ("forum", "market", "channel", "surface")[k % 4], style, own) for k in range(rng.randint(2, 4))]
+    texts: dict[str, list[str]] = {}
+    for _ in range(posts):
+        alias, _, _, style, own = rng.choice(aliases)
+        sign, mark = signs[style]
+        body = [rng.choice(own) if rng.random() < 0.07 else rng.choice(topics) for _ in range(rng.randint(12, 50))]
+        texts.setdefault(alias, []).append(" ".join(body) + mark + " " + sign + mark)
+    rows = [(i, actor, platform, style, len(texts.get(i, [])), "\n".join(texts.get(i, []))) for i, actor, platform, style, _ in aliases]
+    return spark.createDataFrame(rows, "id string, actor string, platform string, style int, posts int, text string")
+
+
 def wallet_graph(spark: SparkSession, wallets: int = 60, transactions: int = 400, seed: int = 7) -> DataFrame:
     """(tx_id, input, output, amount, ts)."""
     rng = random.Random(seed)
