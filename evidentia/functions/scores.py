@@ -35,9 +35,11 @@ def sla_state(due: Column, now: datetime, warn_hours: int = 12) -> Column:
     return F.when(due.isNull(), "none").when(due < t, "breached").when(due <= t + F.expr(f"interval {warn_hours} hours"), "at_risk").otherwise("ok")
 
 
-#: Points of a case queue's parts.
+#: Points of a case queue's parts, and how many items make a point of evidence and links.
 PRIORITY_POINTS = {"urgent": 46, "critical": 46, "high": 34, "medium": 20, "low": 10}
+SEVERITY_POINTS = {"critical": 26, "high": 19, "medium": 11, "low": 5, "informational": 0}
 SLA_POINTS = {"breached": 18, "at_risk": 9}
+PER_EVIDENCE, PER_LINK, UNASSIGNED_POINTS = 25, 150, 6
 
 
 def points(x: Column, table: dict[str, int], default: int) -> Column:
@@ -47,10 +49,25 @@ def points(x: Column, table: dict[str, int], default: int) -> Column:
     return out.otherwise(default)
 
 
-def queue_points(priority: Column, sla: Column, contradictions: Column, links: Column, unassigned: Column, closed: Column) -> Column:
-    """A case's place in the queue, 0 when closed, at most 100."""
-    total = points(priority, PRIORITY_POINTS, 12) + points(sla, SLA_POINTS, 0) + F.least(F.lit(12), 4 * contradictions) + F.least(F.lit(8), links) + F.when(unassigned, 6).otherwise(0)
-    return F.when(closed, 0).otherwise(F.least(F.lit(100), total))
+def queue_reasons(priority: Column, severity: Column, sla: Column, hours_left: Column, contradictions: Column, recent: Column, links: Column, unassigned: Column, status: Column) -> Column:
+    """Why a case stands where it does in the queue: (weight, label), heaviest first, then by label; a done case has one
+    reason of weight 0. recent: evidence of the last days; hours_left: to the deadline, for cases at risk."""
+    part = lambda ok, weight, label: F.when(ok, F.struct((-weight).cast("int").alias("w"), label.alias("label")))
+    text = lambda *p: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in p])
+    yes, by_evidence, by_links = F.lit(True), F.least(F.lit(12), F.floor(recent / PER_EVIDENCE)), F.least(F.lit(8), F.floor(links / PER_LINK))
+    reasons = F.array_compact(F.array(
+        part(yes, points(priority, PRIORITY_POINTS, 12), text(F.initcap(priority), " priority")), part(yes, points(severity, SEVERITY_POINTS, 5), text(F.initcap(severity), " severity")),
+        part(sla == "breached", F.lit(SLA_POINTS["breached"]), F.lit("SLA breached")), part(sla == "at_risk", F.lit(SLA_POINTS["at_risk"]), text("SLA due in ", F.greatest(F.lit(1), F.floor(hours_left)), "h")),
+        part(contradictions > 0, F.least(F.lit(12), 4 * contradictions), text(contradictions, " unresolved contradiction", F.when(contradictions > 1, "s").otherwise(""))),
+        part(by_evidence > 0, by_evidence, text(recent, " evidence in 7 days")), part(by_links > 0, by_links, text(links, " relationships resolved")), part(unassigned, F.lit(UNASSIGNED_POINTS), F.lit("No analyst assigned")),
+    ))
+    done = status.isin("closed", "archived")
+    return F.when(done, F.array(F.struct(F.lit(0).alias("weight"), text("Case ", status).alias("label")))).otherwise(F.transform(F.array_sort(reasons), lambda x: F.struct((-x["w"]).alias("weight"), x["label"].alias("label"))))
+
+
+def queue_points(reasons: Column) -> Column:
+    """A case's place in the queue: its reasons' weights, at most 100."""
+    return F.least(F.lit(100), F.aggregate(reasons, F.lit(0), lambda a, x: a + x["weight"]))
 
 
 def ratio_similarity(a: Column, b: Column) -> Column:

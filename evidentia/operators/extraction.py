@@ -12,11 +12,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.ner import PLATFORMS, ROLES, by_grammar, by_role
+
+#: The alphabets of Base58 and Bech32.
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
-#: Top-level domains that make a dotted name a host, and endings that make it a file.
-TLDS = frozenset("com org net edu gov io co info biz me app dev xyz ru de fr uk es it nl onion example test".split())
-FILES = frozenset("txt pdf doc docx exe zip png jpg jpeg gif csv json xml html py js css md log".split())
+#: Top-level domains that make a dotted name a host, and endings that make it a file.
+TLDS = frozenset("""com net org edu gov mil int io ai app dev club co info biz mobi name pro ru de uk fr nl it es pt se no fi dk pl cz gr tr ua ro bg rs hr hu at ch be ie il in jp kr cn tw hk sg au nz za ca mx ar br cl pe
+xyz top site online club live life world today news blog wiki onion bazar balancer shop store market mall goods pay fund cash coin wallet token win bet casino poker cc tv me cf ga tk ml gq us ca
+eu asiajobs careers finance health tech digital systems solutions group""".split())
+FILES = frozenset("""txt pdf doc docx xls xlsx ppt pptx csv json xml yml yaml md log bak tmp swp py js ts jsx go rs java c h cpp sh bat ps1 sql ini cfg conf env lock png jpg jpeg gif svg webp mp3 mp4 zip tar gz rar 7z iso img
+exe dll so deb rpm apk dmg pkg db sqlite pcap""".split())
 
 
 def base58_ok(address: str) -> bool:
@@ -98,13 +104,16 @@ def eth_case_ok(digits: str) -> bool:
     return all(c == (k.upper() if int(m, 16) >= 8 else k) for c, k, m in zip(digits, low, marks, strict=False))
 
 
-def host_like(name: str) -> bool:
+def host_like(name: str, before: str = "") -> bool:
+    """Whether a dotted name is a host: by its ending, else by a scheme or www. in the eight characters before."""
     last = name.rsplit(".", 1)[-1].lower()
-    return last in TLDS and last not in FILES
+    if last == "onion" or last in FILES:
+        return False  # onion names have their own extractor
+    return last in TLDS or before[-8:].lower().endswith(("://", "www.", "//"))
 
 
 URL = re.compile(r"(?<![\w@])(?:https?://|ftp://|www\.)[^\s<>\"']+", re.I)
-EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b")
+EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b")
 ONION = re.compile(r"(?<![a-z2-7])([a-z2-7]{56}|[a-z2-7]{16})\.onion\b", re.I)
 BASE58 = re.compile(r"(?<![A-Za-z0-9])[13][1-9A-HJ-NP-Za-km-z]{25,34}(?![A-Za-z0-9])")
 BECH32 = re.compile(r"(?<![A-Za-z0-9])(?:bc1[02-9ac-hj-np-z]{11,71}|BC1[02-9AC-HJ-NP-Z]{11,71})(?![A-Za-z0-9])")
@@ -113,9 +122,6 @@ PGP = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-F]{4}\s{1,2}){9}[0-9A-F]{4}(?![0-9A-
 PGP_RAW = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40}(?![0-9A-Za-z])")
 DOMAIN = re.compile(r"(?<![\w@./-])(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 HANDLE = re.compile(r"(?<![\w@.])@[A-Za-z0-9_][A-Za-z0-9_.-]{2,31}")
-PLATFORM = re.compile(r"\b([A-Z][A-Za-z0-9]{2,30}) (?:[Mm]arket|[Ff]orum|[Mm]arketplace|[Cc]hannel)\b")
-ROLE = re.compile(r"\b(?:vendor|seller|admin|moderator|user|operator|buyer|member)\s+([A-Za-z][A-Za-z0-9_-]{2,31})\b")
-STOP = frozenset("the and for with who was has are is not but from that this will can".split())
 
 
 def spans(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -155,22 +161,20 @@ def spans(text: str) -> list[tuple[str, int, int, str, float]]:
         if not any(lo <= m.start() < hi for lo, hi in grouped):
             add("pgp", *m.span(), m[0].upper(), 0.8)
     for m in DOMAIN.finditer(text):
-        if host_like(m[0]):
-            add("domain", *m.span(), m[0].lower(), 0.9)
+        before = text[max(0, m.start() - 8) : m.start()]
+        if host_like(m[0], before):
+            add("domain", *m.span(), m[0].lower(), 0.95 if before.lower().endswith(("://", "www.", "//")) else 0.9)
     for m in HANDLE.finditer(text):
         add("handle", *m.span(), m[0].lstrip("@").lower(), 0.85)
-    for m in PLATFORM.finditer(text):
-        add("platform", *m.span(), m[0].lower(), 0.7)
-    for m in ROLE.finditer(text):
-        if m[1].lower() not in STOP:
-            add("alias", *m.span(1), m[1].lower(), 0.65)
+    for kind, lo, hi, value, confidence, _ in by_grammar(text) + by_role(text):
+        add(kind, lo, hi, value, confidence)
     return sorted(((k, lo, hi, v, c) for (k, lo, hi), (v, c) in found.items()), key=lambda x: (x[1], x[2], x[0]))
 
 
 #: What a text must hold for any extractor to find something; texts without it never reach Python.
 ANY = (
     r"(?U)@[A-Za-z0-9]|://|(?i:www\.)|[A-Za-z0-9]\.[A-Za-z]|\.(?i:onion)|(?i:bc1)|[13][1-9A-HJ-NP-Za-km-z]{25}|0x[0-9A-Fa-f]{40}|[0-9A-F]{4}\s{1,2}[0-9A-F]{4}|[0-9A-Fa-f]{40}"
-    r"|@_| (?:[Mm]arket|[Ff]orum|[Cc]hannel)|(?:vendor|seller|admin|moderator|user|operator|buyer|member)\s"
+    rf"|@_|\s(?i:{'|'.join(PLATFORMS)})|(?i:{'|'.join(ROLES)})[\s:#@]"
 )
 
 

@@ -131,16 +131,44 @@ def sla_state_case(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf).filter(R.within("opened_at", datetime(1998, 7, 1))).select("case_id", sla_state(F.col("sla_due_at"), NOW).alias("sla"))
 
 
-@query(f"""with e as (select order_id, count(*) links, cast(count(*) filter (where kind = 'R') as bigint) contradictions from {EVIDENCE} group by 1),
-q as (select c.case_id, c.status, coalesce(links, 0) links, coalesce(contradictions, 0) contradictions, c.actor_id,
- case priority when 'urgent' then 46 when 'high' then 34 when 'medium' then 20 when 'low' then 10 else 12 end p, case {SLA} when 'breached' then 18 when 'at_risk' then 9 else 0 end s from {CASES} c left join e on e.order_id = c.case_id)
-select case_id, cast(case when status = 'F' then 0 else least(100, p + s + least(12, 4 * contradictions) + least(8, links // 2) + case when actor_id % 10 = 0 then 6 else 0 end) end as bigint) score from q""")
+#: Cases as the console sees them: open, active or closed, with a severity, and one in ten without an analyst.
+CONSOLE = """(select case_id, actor_id, case status when 'F' then 'closed' when 'O' then 'open' else 'active' end status, case priority when 'urgent' then 'critical' else priority end priority,
+ case when amount >= 300000 then 'critical' when amount >= 200000 then 'high' when amount >= 100000 then 'medium' when amount >= 30000 then 'low' else 'informational' end severity, sla_due_at due, case when actor_id % 10 <> 0 then actor_id end assigned_to from """ + CASES + ")"
+CONSOLE_SLA = "case when status = 'closed' or due is null then 'none' when due < timestamp '1998-08-01' then 'breached' when due <= timestamp '1998-08-01' + interval 12 hour then 'at_risk' else 'ok' end"
+
+
+def console_cases(spark: SparkSession, sf: str) -> DataFrame:
+    from evidentia.functions.scores import sla_state
+
+    c = cases(spark, sf)
+    severity = F.when(F.col("amount") >= 300000, "critical").when(F.col("amount") >= 200000, "high").when(F.col("amount") >= 100000, "medium").when(F.col("amount") >= 30000, "low").otherwise("informational")
+    status = F.when(F.col("status") == "F", "closed").when(F.col("status") == "O", "open").otherwise("active")
+    c = c.select("case_id", "actor_id", status.alias("status"), F.when(F.col("priority") == "urgent", "critical").otherwise(F.col("priority")).alias("priority"), severity.alias("severity"), F.col("sla_due_at").alias("due"), F.when(F.col("actor_id") % 10 != 0, F.col("actor_id")).alias("assigned_to"))
+    return c.withColumn("sla_state", F.when(F.col("status") == "closed", "none").otherwise(sla_state(F.col("due"), NOW)))
+
+
+@query(f"""with own as (select order_id case_id, count(*) filter (where kind = 'R') contradictions from {EVIDENCE} group by 1), ledger as (select case_id, count(*) links, count(*) filter (where collected_at >= timestamp '1998-08-01' - interval 7 day) recent from {EVIDENCE} group by 1),
+q as (select c.*, {CONSOLE_SLA} sla, coalesce(contradictions, 0) k, coalesce(links, 0) links, coalesce(recent, 0) recent from {CONSOLE} c left join own on own.case_id = c.case_id left join ledger on ledger.case_id = c.case_id % 50),
+r as (select case_id, case when status = 'closed' then [{{'w': 0, 'label': 'Case closed'}}] else list_sort(list_filter([
+ {{'w': -case priority when 'critical' then 46 when 'high' then 34 when 'medium' then 20 when 'low' then 10 else 12 end, 'label': case priority when 'not specified' then 'Not Specified' else upper(priority[1]) || priority[2:] end || ' priority'}},
+ {{'w': -case severity when 'critical' then 26 when 'high' then 19 when 'medium' then 11 when 'low' then 5 else 0 end, 'label': upper(severity[1]) || severity[2:] || ' severity'}},
+ case sla when 'breached' then {{'w': -18, 'label': 'SLA breached'}} when 'at_risk' then {{'w': -9, 'label': 'SLA due in ' || greatest(1, datediff('second', timestamp '1998-08-01', due) // 3600) || 'h'}} end,
+ case when k > 0 then {{'w': -cast(least(12, 4 * k) as int), 'label': k || ' unresolved contradiction' || case when k > 1 then 's' else '' end}} end, case when recent // 25 > 0 then {{'w': -cast(least(12, recent // 25) as int), 'label': recent || ' evidence in 7 days'}} end,
+ case when links // 150 > 0 then {{'w': -cast(least(8, links // 150) as int), 'label': links || ' relationships resolved'}} end, case when assigned_to is null then {{'w': -6, 'label': 'No analyst assigned'}} end], lambda x: x is not null)) end reasons from q)
+select case_id, cast(least(100, -list_sum(list_transform(reasons, lambda x: x.w))) as int) score, reasons[1].label as reason, array_to_string(list_transform(reasons, lambda x: x.label || ' ' || -x.w), '; ') reasons from r""")
 def queue_score(spark: SparkSession, sf: str) -> DataFrame:
-    from evidentia.functions.scores import queue_points, sla_state
+    """Every case's score with the reasons behind it; evidence and links are those of the case's ledger."""
+    from evidentia.functions.scores import queue_points, queue_reasons
 
-    e = evidence(spark, sf).groupBy(F.col("order_id").alias("case_id")).agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("kind") == "R").alias("contradictions"))
-    c = cases(spark, sf).join(e, "case_id", "left").fillna(0, ["links", "contradictions"])
-    return c.select("case_id", queue_points(F.col("priority"), sla_state(F.col("sla_due_at"), NOW), F.col("contradictions"), F.expr("links div 2"), F.col("actor_id") % 10 == 0, F.col("status") == "F").cast("bigint").alias("score"))
+    e = evidence(spark, sf)
+    own = e.groupBy(F.col("order_id").alias("case_id")).agg(F.count_if(F.col("kind") == "R").alias("contradictions"))
+    week = F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 7 days")
+    ledger = e.groupBy(F.col("case_id").alias("bucket")).agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("collected_at") >= week).alias("recent"))
+    c = console_cases(spark, sf).join(own, "case_id", "left").join(ledger, F.col("case_id") % 50 == F.col("bucket"), "left").fillna(0, ["contradictions", "links", "recent"])
+    hours = F.expr(f"timestampdiff(second, timestamp_ntz'{NOW}', due)") / 3600
+    r = queue_reasons(F.col("priority"), F.col("severity"), F.col("sla_state"), hours, F.col("contradictions"), F.col("recent"), F.col("links"), F.col("assigned_to").isNull(), F.col("status"))
+    c = c.select("case_id", r.alias("r"))
+    return c.select("case_id", queue_points(F.col("r")).alias("score"), F.get("r", F.lit(0))["label"].alias("reason"), F.array_join(F.transform("r", lambda x: F.concat_ws(" ", x["label"], x["weight"].cast("string"))), "; ").alias("reasons"))
 
 
 @query("select name, n, cast(least(100, round(100.0 * n / ceiling)) as bigint) level from (select 'cases' name, count(*) n, 15000 ceiling from orders where o_orderstatus <> 'F' union all select 'evidence', count(*), 60000 from lineitem union all select 'returned', count(*), 20000 from lineitem where l_returnflag = 'R' union all select 'actors', count(*), 1500 from customer union all select 'events', count(*), 9000 from events)")
@@ -172,10 +200,17 @@ def nested_kind_map(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";").alias("kinds"))
 
 
-@query(f"select case_id, modality, cast(aligned as bigint) aligned, cast(apart as bigint) apart, cast(aligned - apart as bigint) net, case when aligned > apart then 'aligned' when apart > aligned then 'apart' else 'weak' end bucket from (select case_id, 'm' || (source_id % 5) modality, count(*) filter (where kind <> 'R') aligned, count(*) filter (where kind = 'R') apart from {EVIDENCE} group by 1, 2)")
+@query(f"select order_id hypothesis_id, coalesce(case when source_id % 11 <> 0 then 'm' || (source_id % 5) end, 'unattributed') modality, count(*) filter (where kind <> 'R') supporting, count(*) filter (where kind = 'R') contradicting, count(*) filter (where kind <> 'R') - count(*) filter (where kind = 'R') net, case when bool_and(kind <> 'R') then 'aligned' when bool_and(kind = 'R') then 'apart' else 'weak' end bucket from {EVIDENCE} group by 1, 2")
 def hypothesis_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    g = evidence(spark, sf).groupBy("case_id", F.concat(F.lit("m"), (F.col("source_id") % 5).cast("string")).alias("modality")).agg(F.count_if(F.col("kind") != "R").alias("aligned"), F.count_if(F.col("kind") == "R").alias("apart"))
-    return g.withColumn("net", F.col("aligned") - F.col("apart")).withColumn("bucket", F.when(F.col("net") > 0, "aligned").when(F.col("net") < 0, "apart").otherwise("weak"))
+    """A hypothesis for each order: its lines support it, returned ones contradict."""
+    from evidentia.operators.dashboards import hypothesis_comparison
+
+    return hypothesis_comparison(hypothesis_links(spark, sf))
+
+
+def hypothesis_links(spark: SparkSession, sf: str) -> DataFrame:
+    modality = F.when(F.col("source_id") % 11 != 0, F.concat(F.lit("m"), (F.col("source_id") % 5).cast("string")))
+    return evidence(spark, sf).select(F.col("order_id").alias("hypothesis_id"), modality.alias("modality"), F.when(F.col("kind") == "R", "contradicting").otherwise("supporting").alias("role"), (F.col("source_id") % 25).alias("independence_group"))
 
 
 @query(f"select s.s_suppkey source_id, case when max(collected_at) is null or max(collected_at) < timestamp '1998-08-01' - interval 7 day then true else false end stale from supplier s left join {EVIDENCE} e on e.source_id = s.s_suppkey group by 1")

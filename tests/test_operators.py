@@ -93,7 +93,7 @@ def test_checksums_and_spans():
     text = "é mail Bob@Example.com or @dark_fox, see http://Ex.com/a. vendor nightowl at Silk Market, report.pdf"
     got = [(k, text[lo:hi], v) for k, lo, hi, v, _ in extraction.spans(text)]
     assert ("email", "Bob@Example.com", "bob@example.com") in got and ("handle", "@dark_fox", "dark_fox") in got and ("alias", "nightowl", "nightowl") in got
-    assert ("url", "http://Ex.com/a", "http://Ex.com/a") in got and ("platform", "Silk Market", "silk market") in got and not any("report" in v for _, _, v in got)
+    assert ("url", "http://Ex.com/a", "http://Ex.com/a") in got and ("marketplace", "Silk Market", "silk market") in got and not any("report" in v for _, _, v in got)
 
 
 def test_search_modes(spark):
@@ -263,8 +263,16 @@ def test_dashboard_edges(spark):
         dashboards.lineage_path(spark.createDataFrame([(1, 2), (2, 1)], "source_id long, copied_from long"))
     r = dashboards.relation_counts(spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, 2), (1, 1)], "source long, target long"))
     assert {x.id: x.relations for x in r.collect()} == {1: 2, 2: 1, 3: 0}
-    g = dashboards.attribution_posture(spark.createDataFrame([(1, 7, None, {"a": 0.2})], "case_id long, assessment_id long, confidence double, signals map<string,double>"), spark.createDataFrame([(1,), (2,)], "case_id long"))
-    assert {x.case_id: (x.assessment_id, x.strongest, x.signals) for x in g.collect()} == {1: (7, 0.2, 1), 2: (None, None, None)}
+    schema = "case_id long, assessment_id long, calibrated double, raw double, created_at int, signals map<string,double>, supporting array<string>, contradicting array<string>"
+    assessments = spark.createDataFrame([(1, 7, None, 0.4, 1, {"a": 0.2}, ["x"], ["y", "z"]), (1, 9, None, 0.9, 2, {}, None, None), (3, 5, 0.5, 0.1, 1, None, [], []), (4, 1, 0.7, 0.1, 1, None, [], [])], schema)
+    g = dashboards.attribution_posture(assessments, spark.createDataFrame([(1, "open"), (2, "open"), (3, "active"), (4, "closed")], "case_id long, status string"))
+    assert {x.case_id: (x.assessment_id, x.confidence, x.modalities, x.contradictions, x.freshness) for x in g.collect()} == {1: (9, 0.9, 0, 0, 0.0), 3: (5, 0.5, 0, 0, 0.5)}
+    m = {(x.case_id, x.modality): (x.support_value, x.contradict_value, x.support) for x in dashboards.signal_matrix(assessments, ["a", "b"]).collect()}
+    assert m[1, "A"] == (0.2, 0.12, "LOW") and m[1, "B"] == (0.55, 0.12, "MEDIUM") and m[3, "A"] == (0.55, 0.0, "MEDIUM")
+    links = spark.createDataFrame([("h", "m", "supporting", 1), ("h", "m", "supporting", 2), ("h", "n", "contradicting", 1), ("h", None, "supporting", 1), ("h", None, "other", 1)], "hypothesis_id string, modality string, role string, independence_group int")
+    assert {x.modality: (x.bucket, x.net) for x in dashboards.hypothesis_comparison(links).collect()} == {"m": ("aligned", 2), "n": ("apart", -1), "unattributed": ("weak", 0)}
+    s = {x.hypothesis_id: x for x in dashboards.hypothesis_summary(spark.createDataFrame([("h",), ("i",)], "hypothesis_id string"), links).collect()}
+    assert s["h"].independent_source_groups == 2 and not s["h"].gap and s["i"].gap
     empty = spark.createDataFrame([], "k array<string>").agg(dashboards.array_total(dashboards.F.col("k")).alias("n")).first()
     assert empty.n == 0
 
