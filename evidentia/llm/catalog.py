@@ -78,14 +78,19 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 
 
 def op8_sql() -> str:
-    """Base phrases by position; template labels by counting each block's common words with each template."""
-    templates = ", ".join(f"('{label}', {i}, {sorted(set(t.split()))})" for label, ts in license.TEMPLATES.items() for i, t in enumerate(ts))
+    """Base phrases by position; template labels by trying every block and every window of every text."""
+    rows = [(label, i, len(t.split()), sorted(set(t.split())), must.split()) for label, ts in license.TEMPLATES.items() for i, (t, must) in enumerate(ts)]
+    templates = ", ".join(f"('{label}', {i}, {n}, {ws}, {must})" for label, i, n, ws, must in rows)
     phrases = " union all ".join(f"select doc_id, i - 1 as place, '{label}' lab from u where " + " and ".join(f"w[i{f' + {k}' if k else ''}] = '{x}'" for k, x in enumerate(p.split())) for p, label in license.PHRASES.items())
     return rf"""with d as (select doc_id, text, {WORDS.format('text')} w from documents), u as (select doc_id, w, unnest(range(1, len(w) + 1)) i from d where contains(lower(text), 'license') or contains(lower(text), 'reserved') or contains(lower(text), 'cc')),
 b as (select doc_id, place, lab from ({phrases})),
-k as (select doc_id, list_distinct({WORDS.format('block')}) w from (select doc_id, unnest(string_split(regexp_replace(text, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10))) block from documents)),
-t(lab, i, ws) as (values {templates}),
-m as (select doc_id, lab, max(len(list_intersect(k.w, ws)) / len(ws)) c from k cross join t where len(list_intersect(k.w, ws)) >= ceil(0.8 * len(ws) - 1e-9) group by 1, 2),
+t(lab, tid, n, ws, must) as (values {templates}),
+c as (select d.*, t.* from d join t on len(list_intersect(d.w, must)) = len(must) and len(list_intersect(d.w, ws)) >= ceil(0.8 * len(ws) - 1e-9)),
+k as (select doc_id, -i place, lab, ws, must, list_distinct({WORDS.format('block')}) w from (select doc_id, lab, ws, must, unnest(bs) block, unnest(range(1, len(bs) + 1)) i from (select *, string_split(regexp_replace(text, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)) bs from c))),
+v as (select doc_id, lab, ws, must, i, w[i:i + n - 1] w from (select *, unnest(range(1, len(w) + 1)) i from c)),
+f as (select doc_id, place, must[1] anchor, lab, len(list_intersect(w, ws)) o, len(ws) n from k where len(list_intersect(w, must)) = len(must) and len(list_intersect(w, ws)) >= ceil(0.8 * len(ws) - 1e-9)
+ union all select doc_id, i + j - 1, must[1], lab, len(list_intersect(w, ws)), len(ws) from (select *, unnest(range(1, len(w) + 1)) j from v where len(list_intersect(w, must)) = len(must) and len(list_intersect(w, ws)) >= ceil(0.8 * len(ws) - 1e-9)) where w[j] = must[1]),
+m as (select doc_id, lab, max(o / n) c from (select *, max(o) over (partition by doc_id, place, anchor) best from f) where o = best group by 1, 2),
 a as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word from b group by 1),
 l as (select doc_id, string_agg(distinct lab, ',' order by lab) labels, max(c) c from (select doc_id, lab, 1.0 c from b union all select doc_id, lab, c from m) group by 1),
 o as (select doc_id, string_agg(distinct lab, ',' order by lab) labels from b group by 1)

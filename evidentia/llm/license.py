@@ -5,8 +5,15 @@ least the threshold's share of a template's tokens must hold one of its prefix t
 so blocks are joined with templates on prefix tokens only. Length (|B| >= ceil(t|T|)) and positional bounds (what
 can still match behind the two positions) prune before the exact overlap is counted.
 
+Licenses' notices differ in a word or two, so a template also has words that must occur (`mit`, `nc`, `lesser`), and
+the first of them is its anchor: of templates with the same anchor that meet the threshold in one block, or around
+one place of the anchor, only those with the greatest overlap count. A plain CC BY notice is not CC BY-NC, nor the
+other way round.
+
 Defined results: a null text counts as empty (no words, no labels, score 0); a text block is a line, a sentence of
-one, or as many words of the whole text as the template has, so that wrapped notices count; rows that repeat get equal results; extra columns are ignored; an empty table gives an empty result.
+one, or as many words of the whole text as the template has, so that wrapped notices count; templates of equal overlap
+at one anchor all count (ties); texts of any length are scanned whole; rows that repeat get equal results; extra columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +32,19 @@ CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short notices of well-known licenses; the labels follow their usual short names.
+#: Short notices of well-known licenses and the words of them that must occur, the anchor first; the labels follow the
+#: licenses' usual short names.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "this file is licensed to you under the apache license version 2 0"],
-    "bsd": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted"],
-    "cc-by-4.0": ["licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa-4.0": ["licensed under cc by sa 4 0"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "lgpl": ["licensed under the gnu lesser general public license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "agpl-3.0": [("licensed under the gnu affero general public license version 3", "general affero")],
+    "apache-2.0": [("licensed under the apache license version 2 0", "apache license"), ("this file is licensed to you under the apache license version 2 0", "apache license")],
+    "bsd": [("released under the bsd license", "bsd license"), ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution")],
+    "cc-by-4.0": [("licensed under cc by 4 0", "cc by"), ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution")],
+    "cc-by-nc-4.0": [("licensed under cc by nc 4 0", "cc by nc"), ("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial")],
+    "cc-by-sa-4.0": [("licensed under cc by sa 4 0", "cc by sa"), ("licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike")],
+    "gpl-3.0": [("this work is licensed under the gnu general public license version 3", "general public"), ("you can redistribute it and or modify it under the terms of the gnu general public license", "general public")],
+    "lgpl": [("licensed under the gnu lesser general public license", "general lesser"), ("you can redistribute it and or modify it under the terms of the gnu lesser general public license", "general lesser")],
+    "mit": [("released under the mit license", "mit license"), ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission granted")],
+    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public")],
 }
 
 
@@ -62,57 +71,81 @@ def document_frequency(documents: DataFrame, vocabulary: list[str]) -> dict[str,
     return {r["token"]: r["n"] for r in rows}
 
 
-def template_matches(documents: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, text_hash, label, containment) of each document and template label with a block at the threshold."""
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a one-element array's lambda binds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def template_matches(documents: DataFrame, threshold: float = 0.8, templates: dict[str, list[tuple[str, str]]] = TEMPLATES) -> DataFrame:
+    """(doc_id, text_hash, label, containment) of each document and the template labels that count in it."""
     spark = documents.sparkSession
-    sets = [(label, i, len(re.findall(ALNUM_WORD, t)), sorted(set(re.findall(ALNUM_WORD, t)))) for label, ts in templates.items() for i, t in enumerate(ts)]
-    vocabulary = sorted({w for *_, ws in sets for w in ws})
+    sets = [(label, i, len(re.findall(ALNUM_WORD, t)), sorted(set(re.findall(ALNUM_WORD, t))), must.split()) for label, ts in templates.items() for i, (t, must) in enumerate(ts)]
+    vocabulary = sorted({w for *_, ws, _ in sets for w in ws})
     df = document_frequency(documents, vocabulary)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))}
     rows, prefix = [], set()
-    lowered, enough = F.lower("text"), F.lit(False)
-    for label, i, length, ws in sets:
+    for label, i, length, ws, must in sets:
         ranked = sorted(order[w] for w in ws)
         least = math.ceil(threshold * len(ws) - 1e-9)
-        held = F.lit(0)
-        for w in ws:
-            held += F.contains(lowered, F.lit(w)).cast("int")
-        enough |= held >= least
         for at, r in enumerate(ranked[: len(ws) - least + 1]):
-            rows.append((label, i, ranked, least, length, at, r))
+            rows.append((label, i, ranked, least, length, at, r, [order[w] for w in must]))
             prefix.add(sorted(vocabulary, key=order.get)[r])
+
+    def may(low: Column) -> Column:
+        """Whether a text holds what some template must have: substring tests are wider than the token test, and cheap."""
+        out = F.lit(False)
+        for _, _, _, ws, must in sets:
+            held = F.lit(0)
+            for w in ws:
+                held += F.contains(low, F.lit(w)).cast("int")
+            one = F.lit(True)
+            for w in must:
+                one &= F.contains(low, F.lit(w))
+            out |= one & (held >= math.ceil(threshold * len(ws) - 1e-9))
+        return out
+
     # As long as the fixed list of templates: a few hundred short rows at most.
-    side = F.broadcast(spark.createDataFrame(rows, "label string, template int, t array<int>, least int, length int, t_at int, token int"))
+    side = F.broadcast(spark.createDataFrame(rows, "label string, template int, t array<int>, least int, length int, t_at int, token int, must array<int>"))
     rank = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
     # The map is searched one by one, so other words are sorted out by a hash set first.
     ranked_word = lambda x: F.when(x.isin(vocabulary), F.element_at(rank, x))
     text = F.col("text")
-    # Substring tests are wider than the token test and cheap; they only decide which texts are cut into blocks.
+    some = documents.filter(let(F.lower(text), may)).select("doc_id", F.xxhash64(text).alias("text_hash"), "text")
+    anchor = F.get("must", F.lit(0))
+    found = ["doc_id", "text_hash", "place", "anchor", "label", "overlap", "size"]
     blocks = (
-        documents.filter(has_any(F.lower(text), sorted(prefix)))
-        .select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.filter(F.split(text, r"\n|(?<=[.!?;])[ \t]+"), lambda b: has_any(F.lower(b), sorted(prefix)))).alias("block"))
-        .select("doc_id", "text_hash", words_of(F.col("block")).alias("w"))
-        .select("doc_id", "text_hash", F.sort_array(F.array_distinct(F.filter(F.transform("w", ranked_word), lambda r: r.isNotNull()))).alias("b"))
+        some.select("doc_id", "text_hash", F.posexplode(F.split(text, r"\n|(?<=[.!?;])[ \t]+")).alias("place", "block"))
+        .filter(has_any(F.lower("block"), sorted(prefix)))
+        .select("doc_id", "text_hash", "place", words_of(F.col("block")).alias("w"))
+        .select("doc_id", "text_hash", "place", F.sort_array(F.array_distinct(F.filter(F.transform("w", ranked_word), lambda r: r.isNotNull()))).alias("b"))
     )
     pairs = (
-        blocks.select("doc_id", "text_hash", "b", F.posexplode("b").alias("b_at", "token"))
+        blocks.select("doc_id", "text_hash", "place", "b", F.posexplode("b").alias("b_at", "token"))
         .join(side, "token")
         .filter(F.size("b") >= F.col("least"))  # length
         .filter(1 + F.least(F.size("t") - 1 - F.col("t_at"), F.size("b") - 1 - F.col("b_at")) + F.least(F.col("t_at"), F.col("b_at")) >= F.col("least"))  # position
         .withColumn("overlap", F.size(F.array_intersect("t", "b")))
-        .filter(F.col("overlap") >= F.col("least"))
+        .filter((F.col("overlap") >= F.col("least")) & (F.size(F.array_intersect("must", "b")) == F.size("must")))
+        .withColumns({"anchor": anchor, "size": F.size("t"), "place": -1 - F.col("place")})  # below 0, apart from places of words
     )
-    # Windows of a template's length over the whole text around its prefix tokens; null ranks are other words.
-    whole = documents.filter(has_any(F.lower(text), sorted(prefix)) & enough).select("doc_id", F.xxhash64(text).alias("text_hash"), F.transform(words_of(text), ranked_word).alias("r"))
+    # Windows of a template's length over the whole text around its prefix tokens; null ranks are other words. A
+    # window counts for each place of the anchor in it.
+    whole = some.select("doc_id", "text_hash", F.transform(words_of(text), ranked_word).alias("r"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("length") + 1), F.col("at"))
     windows = (
         whole.select("doc_id", "text_hash", "r", F.posexplode("r").alias("at", "token"))
         .join(side, "token")
-        .withColumn("overlap", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("r", i + 1, F.col("length")), F.col("t"))))))
-        .filter(F.col("overlap") >= F.col("least"))
+        .withColumn("start", F.explode(starts))
+        .withColumn("w", F.slice("r", F.col("start") + 1, F.col("length")))
+        .withColumn("overlap", F.size(F.array_intersect("w", "t")))
+        .filter((F.col("overlap") >= F.col("least")) & (F.size(F.array_intersect("must", "w")) == F.size("must")))
+        .withColumn("place", F.explode(F.filter(F.transform("w", lambda x, k: F.when(x == anchor, F.col("start") + k)), lambda p: p.isNotNull())))
+        .withColumns({"anchor": anchor, "size": F.size("t")})
     )
-    found = pairs.select("doc_id", "text_hash", "label", "overlap", "t").unionByName(windows.select("doc_id", "text_hash", "label", "overlap", "t"))
-    return found.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("overlap") / F.size("t")).alias("containment"))
+    best = pairs.select(*found).unionByName(windows.select(*found)).groupBy("doc_id", "text_hash", "place", "anchor", "label", "size").agg(F.max("overlap").alias("overlap"))
+    most = best.groupBy("doc_id", "text_hash", "place", "anchor").agg(F.max("overlap").alias("most"), F.collect_list(F.struct("label", "overlap", "size")).alias("each"))  # as long as the list of templates
+    kept = most.select("doc_id", "text_hash", F.explode(F.filter("each", lambda x: x["overlap"] == F.col("most"))).alias("x"))
+    return kept.groupBy("doc_id", "text_hash", F.col("x.label").alias("label")).agg(F.max(F.col("x.overlap") / F.col("x.size")).alias("containment"))
 
 
 def base_places(words: Column) -> Column:
@@ -136,17 +169,20 @@ def scan(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     a base phrase stands)."""
     matches = template_matches(documents, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     matches = matches.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-    lowered = F.lower("text")
-    maybe = F.lit(False)
-    for phrase in PHRASES:
-        near = F.lit(True)
-        for w in phrase.split():
-            near &= F.contains(lowered, F.lit(w))
-        maybe |= near
+
+    def maybe(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in PHRASES:
+            near = F.lit(True)
+            for w in phrase.split():
+                near &= F.contains(low, F.lit(w))
+            out |= near
+        return out
+
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     d = documents.select(
         "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(CASED_WORD)).cast("bigint").alias("n_words"),
-        F.when(F.col("text").isNotNull() & maybe, F.element_at(F.transform(F.array(words_of(F.col("text"))), base_places), 1)).otherwise(none).alias("base"),
+        F.when(F.col("text").isNotNull() & let(F.lower("text"), maybe), let(words_of(F.col("text")), base_places)).otherwise(none).alias("base"),
     )
     d = d.join(matches, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
     at, own = F.transform("base", lambda x: x["at"]), F.transform("base", lambda x: x["label"])
