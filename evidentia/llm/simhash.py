@@ -136,7 +136,8 @@ def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
     for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         keys.append(F.xxhash64(F.lit(k), *[parts[c] for c in chosen]))
     spread = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
+    # Written, so that a bucket with very many members can be split in the join.
+    large = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("c")), "buckets")
     own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     # A bucket of c chunks gives c(c+1)/2 pairs of chunks; a member goes to the c pairs that hold its chunk.
     tiles = F.when(F.col("c") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.least(x, own).cast("bigint") * F.col("c") + F.greatest(x, own)))
