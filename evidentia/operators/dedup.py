@@ -17,7 +17,7 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
 
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="evidentia-")

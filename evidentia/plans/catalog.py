@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.plans import analytics, authorship, dashboards, extra, graphs, quality, relational, search, temporal  # noqa: F401  they register their queries
+from evidentia.plans import analytics, authorship, collection, dashboards, extra, graphs, quality, relational, search, temporal  # noqa: F401  they register their queries
 from evidentia.plans.registry import ORACLES, QUERIES
 
 
