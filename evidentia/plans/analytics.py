@@ -257,13 +257,21 @@ def weighted_logit_score(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), s.alias("score"))
 
 
-@query("with l as (select event_id seq, sha256(concat_ws('|', 'x' || (event_id - 1), cast(event_id as varchar), event_type, 'user', cast(user_id as varchar), props)) h from events) select seq, 'link' fault from l where seq > (select min(seq) from l)")
+@query("""with recursive e as (select event_id seq, user_id || '/' || cast(ts as date) ch, row_number() over (partition by user_id, cast(ts as date) order by event_id) i, concat_ws('|', cast(event_id as varchar), event_type, 'user', cast(user_id as varchar), props) f from events),
+c as (select seq, ch, i, '' prev, sha256('|' || f) h from e where i = 1 union all select e.seq, e.ch, e.i, c.h, sha256(c.h || '|' || e.f) from c join e on e.ch = c.ch and e.i = c.i + 1),
+k as (select *, lag(h) over (partition by ch order by seq) before from c where seq % 103 <> 0)
+select seq, case when seq % 101 = 0 then 'hash' else 'link' end fault from k where seq % 101 = 0 or before <> prev""")
 def hash_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row's own hash is right, but the links were never chained: all but the first row of each chain fail."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("occurred_at"), F.col("event_type").alias("action"), F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.col("props").alias("payload"))
-    log = e.withColumn("prev_hash", F.concat(F.lit("x"), (F.col("seq") - 1).cast("string")))
-    log = log.withColumn("entry_hash", audit.entry_hash(F.col("prev_hash"), *[F.col(f) for f in audit.FIELDS]))
-    return audit.verify(log)
+    """A chain for each subject and day, in which some entries were changed afterwards and others taken out."""
+    day = F.col("observed_at").cast("date").cast("string")
+    text = {"occurred_at": F.col("event_id").cast("string"), "action": F.col("value"), "entity_type": F.lit("user"), "entity_id": F.col("subject_id").cast("string"), "payload": F.col("props")}
+    e = observations(spark, sf).select(F.concat_ws("/", "subject_id", day).alias("chain"), F.struct(F.col("event_id").alias("seq"), *[c.alias(n) for n, c in text.items()]).alias("e"))
+    entry = lambda prev, x: F.struct(*[x[n].alias(n) for n in ("seq", *audit.FIELDS)], prev.alias("prev_hash"), audit.entry_hash(prev, *[x[n] for n in audit.FIELDS]).alias("entry_hash"))
+    kind = "array<struct<seq:bigint,occurred_at:string,action:string,entity_type:string,entity_id:string,payload:string,prev_hash:string,entry_hash:string>>"
+    last = lambda rows: F.coalesce(F.try_element_at(rows, F.lit(-1))["entry_hash"], F.lit(""))
+    chained = e.groupBy("chain").agg(F.array_sort(F.collect_list("e")).alias("es")).select("chain", F.inline(F.aggregate("es", F.array().cast(kind), lambda rows, x: F.concat(rows, F.array(entry(last(rows), x))))))
+    log = chained.filter("seq % 103 <> 0").withColumn("payload", F.when(F.col("seq") % 101 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return audit.verify(log, "chain")
 
 
 @query("select case when value <= 1 then 1.0 when value <= 5 then 5.0 when value <= 10 then 10.0 when value <= 25 then 25.0 when value <= 50 then 50.0 when value <= 100 then 100.0 when value <= 250 then 250.0 when value <= 500 then 500.0 when value <= 1000 then 1000.0 when value <= 2500 then 2500.0 else -1.0 end bucket, count(*) n from events group by 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import scores as S
 from evidentia.functions import text as X
 from evidentia.operators import assistant, encoders, flows, fusion, infrastructure, relational, stylometry
-from evidentia.operators.resolution import group_split
+from evidentia.operators.resolution import candidate_score, group_split
 from evidentia.plans.registry import query
 from evidentia.sources import exports
 from evidentia.sources.tables import edges, evidence, observations, table
@@ -89,14 +89,13 @@ def group_split_hash(spark: SparkSession, sf: str) -> DataFrame:
     return group_split(c, "c_nationkey").select("actor_id", "part")
 
 
-@query("with s as (select s_suppkey id, s_nationkey n, round(s_acctbal, -3) b, lower(s_name) h from supplier) select a.id l, b.id r, round(0.15 * (1 - levenshtein(a.h, b.h) / greatest(length(a.h), length(b.h))) + 0.85 * (0.2 * (a.n = b.n)::int + 0.6 * (a.b = b.b)::int), 4) score from s a join s b on a.n = b.n and a.id < b.id")
+@query("with s as (select s_suppkey id, s_nationkey n, round(s_acctbal, -3) b, lower(s_name) h from supplier) select a.id l, b.id r, round(0.15 * (1 - levenshtein(a.h, b.h) / greatest(length(a.h), length(b.h))) + 0.85 * (0.2 * (a.n = b.n)::int + 0.6 * (a.b = b.b)::int), 3) score from s a join s b on a.id <> b.id and a.id % 20 = 0")
 def candidate_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers of one nation: names, nation as time zone, balance class as wallet."""
+    """Every twentieth supplier against all others: names, nation as time zone, balance class as wallet."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), F.round("s_acctbal", -3).alias("b"), F.lower("s_name").alias("h"))
-    p = s.alias("x").join(s.alias("y"), (F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    handle, wallet = S.levenshtein_similarity(F.col("x.h"), F.col("y.h")), (F.col("x.b") == F.col("y.b")).cast("int")
-
-    return p.select(F.col("x.id").alias("l"), F.col("y.id").alias("r"), F.round(0.15 * handle + 0.85 * (0.2 + 0.6 * wallet), 4).alias("score"))
+    p = relational.against(s, s.filter("id % 20 = 0")).filter("q.id <> id")
+    same = lambda c: (F.col(f"q.{c}") == F.col(c)).cast("double")
+    return p.select(F.col("q.id").alias("l"), F.col("id").alias("r"), candidate_score(S.levenshtein_similarity(F.col("q.h"), F.col("h")), F.lit(0.0), same("n"), same("b")).alias("score"))
 
 
 @query(f"with e as (select distinct tx_id, least(a, b) s, greatest(a, b) t, ts from {FLOWS}) select s source, t target, min(ts) first_seen, max(ts) last_seen, count(distinct tx_id) evidence from e group by 1, 2")
