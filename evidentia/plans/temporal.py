@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import shifts
+from evidentia.operators import extension, shifts
 from evidentia.plans.registry import query
 from evidentia.sources.tables import evidence, observations
 
@@ -90,3 +90,12 @@ def actor_presence(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {STREAMS} select case_id, subject_id, cast(len as int) buckets, cast(sum(n) as bigint) observations, min(lo) first_at, max(hi) last_at, round(max(m), 6) mean, round(stddev_pop(n), 6) standard_deviation, max(n) peak, cast(count(*) filter (where n = 0) as int) silent_buckets, len >= 6 analysable from s group by case_id, subject_id, len")
 def behaviour_series(spark: SparkSession, sf: str) -> DataFrame:
     return shifts.behaviour(shifts.bucketed(streams(spark, sf))).drop("channel")
+
+
+@query(f"with recursive {STREAMS}, {CUSUM} select hits.subject_id, hits.i - 1 place, s.b as at, round(hits.hit, 6) score from hits join s on s.case_id = hits.case_id and s.subject_id = hits.subject_id and s.i = hits.i")
+def registered_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """CUSUM as a table function of SQL over all activity series."""
+    extension.register(spark, "cusum_of", lambda v: shifts.cusum_alarms(v, shifts.DRIFT, shifts.THRESHOLD) if len(v) >= shifts.least_buckets(shifts.MIN_SIZE) else [])
+    points = shifts.bucketed(streams(spark, sf)).select("subject_id", F.explode("points").alias("p")).select("subject_id", "p.at", "p.n")
+    points.createOrReplaceTempView("activity_points")
+    return spark.sql("select subject_id, place, at, round(score, 6) score from cusum_of(table(activity_points))")

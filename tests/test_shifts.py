@@ -111,3 +111,16 @@ def test_empty(spark):
 def test_unknown_method():
     with pytest.raises(ValueError):
         shifts.detector("guess")
+
+
+def test_registered_detector(spark):
+    from evidentia.operators import extension
+
+    extension.register(spark, "peaks", lambda v: [(i, x) for i, x in enumerate(v) if x == v.max()])
+    spark.createDataFrame([("b", 2, 5.0, "x"), ("a", 3, 1.0, "x"), ("a", 1, 7.0, "x"), ("a", 2, 7.0, "x"), (None, 1, 0.0, "x")], "subject_id string, at int, n double, more string").createOrReplaceTempView("points_of_test")
+    got = spark.sql("select * from peaks(table(points_of_test))").collect()
+    assert {tuple(r) for r in got} == {("a", 0, 1, 7.0), ("a", 1, 2, 7.0), ("b", 0, 2, 5.0), (None, 0, 1, 0.0)}
+    with pytest.raises(Exception, match="lacks n"):
+        spark.sql("select * from peaks(table(select subject_id, at from points_of_test))").collect()
+    with pytest.raises(ValueError):
+        extension.register(spark, "no name", len)
