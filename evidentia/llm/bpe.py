@@ -6,7 +6,8 @@ pair at once. Words already seen are kept in a bounded cache, so a round only ev
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; a special token's string inside
 a text becomes that token, as the tokenizer file says; rows that repeat give equal results; texts of any length are
-encoded whole.
+encoded whole; of pairs of one rank, which are one pair, the leftmost is merged first (ties); an empty table gives an
+empty result; other columns don't matter, whatever their names, and a null doc_id is a row like any other.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i
 
 The model is fitted on the driver from a bounded labelled sample (MAX_PER_CLASS rows a class) and has a fixed size.
 Defined results: a null text scores like an empty one; a missing n_chars is a bucket of its own; repeated rows get
-equal scores; without labels of both classes the score is the class share, or 0.5 without any label.
+equal scores, equal texts of one length too (ties); without labels of both classes the score is the class share, or
+0.5 without any label; texts of any length are scored whole, in linear time; an empty table gives an empty result; other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

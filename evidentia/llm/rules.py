@@ -5,7 +5,9 @@ labelled sample, grows conjunctions of thresholds by sequential covering (FOIL g
 (on a held-back part), and emits the ordered list as one Spark conditional expression. No Python runs on executors.
 
 Defined results: a null text counts as empty and has no words; an empty labelled sample gives an empty list, so
-only the base rule decides; rows that repeat get equal results; extra columns are ignored.
+only the base rule decides; rows that repeat get equal results; of thresholds of equal gain the first one tried counts
+(ties), and sampled rows are put in order first; texts of any length are measured whole; an empty table gives an empty
+result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

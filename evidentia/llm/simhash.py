@@ -10,7 +10,9 @@ Buckets above a size are cut into chunks, and every pair of chunks is a bucket o
 more than two chunks and no pair is lost.
 
 Defined results: a null text, like one without words, has fingerprint zero and links like any other; copies share
-a fingerprint, and only distinct ones are compared; a null doc_id keeps its row and is never the smallest id.
+a fingerprint, and only distinct ones are compared; a null doc_id keeps its row and is never the smallest id; a bit set
+in exactly half the hashes is 0 (ties); rows that repeat get equal results; texts of any length are read whole; an empty
+table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
