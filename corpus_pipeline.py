@@ -1,10 +1,10 @@
 """The training-text pipeline: toxicity, near-duplicates, repeated substrings, benchmark passages, tokens.
 
-Each stage reads what the one before it wrote. Defined results of all stages: a null text counts as an empty one (the
-substring stage drops it with other texts without a word); a null doc_id is never a group's smallest; of rows that
-repeat doc_id and text one stays after the near-duplicates; ties can't arise, as groups are named by their smallest id;
-texts of any length are read whole; an empty table goes through as one; other columns stay as they are, whatever their
-names, until the last stage, which returns ids and digests."""
+Each stage reads what the one before it wrote. Defined results of all stages: a null text counts as an empty one and
+stays null; documents that lose all their words to the substring stage go; a null doc_id is never a group's smallest; of
+rows that repeat doc_id and text one stays after the near-duplicates; ties can't arise, as groups are named by their
+smallest id; texts of any length are read whole; an empty table goes through as one; other columns stay as they are,
+whatever their names (n_chars follows a text that was cut), until the last stage, which returns ids and digests."""
 
 from __future__ import annotations
 
