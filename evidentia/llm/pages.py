@@ -2,11 +2,13 @@
 
 Every element subtree is hashed (tag, class, children, text) together with its page's host. Spark counts in how many
 different pages of a host each hash stands; pages with equal main text count once. A subtree that recurs goes first:
-furniture (no prose block) from RECUR pages of its host, prose outside the page's article from PROSE_RECUR pages, and
-prose inside it from MOST of the host's pages, because syndicated passages recur more often there than menus do. These
-are numbers of pages, whatever the host's size. Elements that HTML itself marks as no content (script, nav, form, a
-role, hidden) go too, and so do containers whose whole class or id is one of NAMES: readers' comments and adverts
-differ from page to page, so no count finds them. What is left inside the article (else main, else body) is the text.
+furniture (no prose block) from RECUR pages of its host, prose from PROSE_RECUR pages. Syndicated passages recur more
+often than menus do, so prose inside the article, and elsewhere prose among siblings of its kind (headings, paragraphs
+and the like, else the same tag; the same class, id and role) that don't recur, goes only when PROSE_RECUR and MOST of the host's pages have it; and so on a page that would lose most of its
+prose, which is a copy. Elements that HTML itself marks as no content (script, nav, form, a role, hidden) go
+too, and so do containers whose whole class or id consists of NAMES (OUTER: outside the article only), and articles
+of class COMMENT: readers' comments and adverts differ from page to page, so no count finds them. What is left inside
+the article (else main, else body) is the text. Formulas are text.
 
 Template hashes are sent to executors only while they are at most TEMPLATES; beyond that they are joined with the
 pages' own hashes and come back as a list for each page. Defined results: a null html counts as empty (text empty); a
@@ -30,7 +32,7 @@ from xxhash import xxh64_intdigest
 
 from evidentia.llm.common import map_text, materialize
 
-#: Pages of a host that furniture and prose recur on at least, and the share from which prose in an article goes.
+#: Pages of a host that furniture and prose recur on at least, and the share from which prose among content goes.
 RECUR, PROSE_RECUR, MOST = 3, 10, 0.6
 #: Nesting of elements, as in browsers.
 DEPTH = 512
@@ -39,28 +41,47 @@ TEMPLATES = 2_000_000
 NAME, STOP = re.compile(r"[a-zA-Z][^\s>/]*"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th tr table caption".split())
 #: Opening one of these closes an open one of the named kinds.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"body", "html", "li", "dt", "dd", "tr", "option", "p"}}
 #: These bound the search for something to close.
 SCOPE = frozenset("article section div table ul ol dl body main aside nav header footer form blockquote td th figure".split())
-DROP = frozenset("aside button dialog footer form frameset head iframe input label math menu nav noscript object option script select style svg template textarea title".split())
+DROP = frozenset("annotation annotation-xml aside button dialog footer form frameset head iframe input label menu nav noscript object option script select style svg template textarea title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Whole classes and ids (fixed values) of containers for adverts, readers' comments and notices.
-NAMES = frozenset("ad ads advert adverts advertisement sponsored comments comment-list commentlist respond cookie-notice cookie-banner notice sidebar newsletter breadcrumbs pagination".split())
+#: Whole classes and ids (fixed values) of containers for adverts, readers' comments and notices; and of articles.
+NAMES = frozenset("ad ads advert adverts advertisement sponsored comments comment-list commentlist respond cookie-notice cookie-banner sidebar newsletter breadcrumbs pagination".split())
+OUTER = frozenset(["notice"])
+COMMENT = frozenset("comment comment-body comment-item reader-comment user-comment".split())
 NAMED = frozenset("div section ul ol aside table dl".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "drop", "hash", "chars", "linked", "depth")
+    __slots__ = ("tag", "label", "parent", "children", "drop", "hash", "chars", "linked", "depth", "safe")
 
     def __init__(self, tag: str, label: str, parent: Node | None, drop: bool):
         self.tag, self.label, self.parent, self.drop = tag, label, parent, drop
         self.children: list = []
         self.depth = parent.depth + 1 if parent else 0
         self.hash = self.chars = self.linked = 0
+        self.safe = False
+
+
+def within(n: Node | None, tags: tuple[str, ...]) -> bool:
+    while n is not None and n.tag not in tags:
+        n = n.parent
+    return n is not None
+
+
+def named(tag: str, classes: list[str], name: str, parent: Node) -> bool:
+    """Whether class or id, as a whole, name an advert, comments or a notice."""
+    if tag == "article":
+        return not COMMENT.isdisjoint(classes)
+    if tag not in NAMED:
+        return False
+    whole = [set(x) for x in (classes, [name]) if x and x[0]]
+    return any(x <= NAMES for x in whole) or any(x <= NAMES | OUTER for x in whole) and not within(parent, ("article", "main"))
 
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
@@ -68,8 +89,9 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
     if attributes and attributes.strip(" /\n\t"):
         known = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
         label = " ".join((known.get("class", ""), known.get("id", ""), known.get("role", ""))).lower().strip()
-        if label and tag not in ("html", "body", "article", "main"):
-            drop |= tag in NAMED and not NAMES.isdisjoint(label.split()) or known.get("role", "").lower() in ROLES
+        if label and tag not in ("html", "body", "main"):
+            drop |= named(tag, known.get("class", "").lower().split(), known.get("id", "").lower().strip(), parent)
+            drop |= tag != "article" and known.get("role", "").lower() in ROLES
         drop |= "hidden" in known or known.get("aria-hidden", "").lower() == "true" and tag in BLOCK or "display:none" in known.get("style", "").replace(" ", "").lower()
     return Node(tag, label, parent, drop)
 
@@ -237,18 +259,41 @@ def countable(nodes: list[Node]) -> list[Node]:
     return [n for n in nodes if n.chars and n.tag in BLOCK and n.tag not in ("html", "article", "main")]
 
 
-def prose(n: Node, inside: bool) -> bool:
-    return inside and 2 * n.linked <= n.chars and (n.tag in PROSE or any(type(c) is Node and c.tag in PROSE for c in n.children))
+def prose(n: Node) -> bool:
+    return 2 * n.linked <= n.chars and (n.tag in PROSE or any(type(c) is Node and c.tag in PROSE for c in n.children))
+
+
+def kind(n: Node) -> tuple[str, str]:
+    return "p" if n.tag in PROSE else n.tag, n.label
+
+
+def spare(nodes: list[Node], recurring: dict[int, int]) -> None:
+    """Marks as safe the recurring prose that stands among content: it has siblings of its kind that don't recur, or
+    lies in such an element, or the page would lose most of its prose."""
+    again = {id(n) for n in nodes if recurring.get(n.hash, 0) > 1}
+    fresh: dict[int, set] = {}
+    for n in nodes:
+        up = n.parent
+        if id(n) in again and up is not None:
+            if id(up) not in fresh:
+                fresh[id(up)] = {kind(c) for c in up.children if type(c) is Node and c.chars and not c.drop and id(c) not in again}
+            n.safe = up.safe or kind(n) in fresh[id(up)]
+    own = [n for n in nodes if n.tag in PROSE and not n.drop and n.parent.tag not in PROSE]
+    if 2 * sum(n.chars for n in own if id(n) in again and not n.safe) > sum(n.chars for n in own):
+        for n in nodes:
+            n.safe |= id(n) in again
 
 
 def text_of(root: Node, nodes: list[Node], recurring: dict[int, int]) -> str:
     """The page's text without dropped and recurring elements; recurring: 1, 2, 3 for hashes from RECUR, PROSE_RECUR and
-    MOST pages."""
+    MOST pages. nodes has parents before children."""
     for n in nodes:  # templates go first, so that no recurring teaser passes for the page's article
         level = recurring.get(n.hash, 0)
-        n.drop |= level > 0 and n.tag in BLOCK and not prose(n, True)
+        n.drop |= level > 0 and n.tag in BLOCK and not prose(n)
     areas = region(root, nodes)
     inside = areas[0] is not root
+    if not inside and recurring:
+        spare(nodes, recurring)
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -267,7 +312,7 @@ def text_of(root: Node, nodes: list[Node], recurring: dict[int, int]) -> str:
                 piece.append(n)
             elif n is None:
                 cut()
-            elif n.drop or n.tag == "header" and not inside or recurring.get(n.hash, 0) > (2 if inside else 1):
+            elif n.drop or n.tag == "header" and not inside or recurring.get(n.hash, 0) > (2 if inside or n.safe else 1):
                 cut() if n.tag in BLOCK else piece.append(" ")
             else:
                 block = n.tag in BLOCK
@@ -314,7 +359,7 @@ def templates(pages: DataFrame) -> DataFrame:
     different = materialize(different, "subtrees")
     sizes = materialize(different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     counted = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECUR)
-    level = F.when((F.col("n") >= MOST * F.col("pages")) & (F.col("n") > RECUR), 3).when(F.col("n") >= PROSE_RECUR, 2).otherwise(1)
+    level = F.when((F.col("n") >= MOST * F.col("pages")) & (F.col("n") >= PROSE_RECUR), 3).when(F.col("n") >= PROSE_RECUR, 2).otherwise(1)
     return counted.join(sizes, "host").groupBy("hash").agg(F.max(level).alias("level"))
 
 

@@ -149,6 +149,64 @@ def test_templates_decide_without_an_article(spark, monkeypatch):
     assert "Home News Shop 0" in pages.extract(alone).collect()[0].text
 
 
+def test_without_counting_templates_stay(spark, monkeypatch):
+    """The names and tags alone leave the site's own boxes in the text: only the counts take them out."""
+    rows = [(n, f"https://shop0.example/p/{n}", SITE.format(shop="Shop 0", n=n)) for n in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counted = {r.page_id: r.text for r in pages.extract(df).collect()}
+    monkeypatch.setattr(pages, "templates", lambda p: spark.createDataFrame([], "hash long, level int"))
+    for r in pages.extract(df).collect():
+        assert r.text.startswith("Home News Shop 0") and "Call us." in r.text
+        assert "Home" not in counted[r.page_id] and "Call us." not in counted[r.page_id]
+
+
+SHARED = "<p>This passage is syndicated and stands on many pages of the host, never with the same words around it.</p>"
+
+
+def test_syndicated_passages_stay(spark):
+    """A passage on a third of a host's pages stays among fresh prose, with an article or without; a promotion box of
+    the same number of pages goes; copies of one story under different menus keep it."""
+    box = "<div class=promo><p>Subscribe to our weekly letter today.</p></div>"
+    rows, want = [], {}
+    for tag in ("article", "div"):
+        host = f"{tag}.example"
+        for n in range(60):
+            hit = n % 3 == 0
+            body = f"<{tag} class=story><h1>{'The news' if hit else f'Title {n}'}</h1><p>Own text {n} begins here and is long enough to count.</p>{SHARED if hit else ''}<p>It ends with {n}.</p></{tag}>"
+            rows.append((len(rows), f"http://{host}/{n}", f"<body><div class=nav1><a href=/>Start</a></div>{body}{box if hit else ''}</body>"))
+            lines = ["The news" if hit else f"Title {n}", f"Own text {n} begins here and is long enough to count.", *([SHARED[3:-4]] if hit else []), f"It ends with {n}."]
+            want[rows[-1][0]] = "\n\n".join(lines)
+    for n in range(60):
+        story = "<div><p>The same story, word for word.</p><p>In two paragraphs.</p></div>" if n < 15 else f"<div><p>Story number {n}.</p></div>"
+        rows.append((len(rows), f"http://copies.example/{n}", f"<body><ul class=m{n}><li><a href=/{n}>To {n}</a></li></ul>{story}</body>"))
+        want[rows[-1][0]] = f"To {n}\n\n" + ("The same story, word for word.\n\nIn two paragraphs." if n < 15 else f"Story number {n}.")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in pages.extract(df, 0).collect()} == want
+
+
+def test_names_are_whole_and_comments_of_any_tag_go():
+    def text(html: str) -> str:
+        nodes = pages.measure(root := pages.parse(html), "h")
+        return pages.text_of(root, nodes, {})
+
+    assert text('<article><div class="notice">Take notice.</div><div class="photo ad hoc">A photo.</div><p>Body</p></article>') == "Take notice.\n\nA photo.\n\nBody"
+    assert text('<body><div class="notice">We moved.</div><div class="ad sponsored">Buy</div><div id="comments"><p>Nice</p></div><p>Body</p></body>') == "Body"
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == "If x=2 holds"
+    assert text('<article><p>Body</p></article><article class="comment odd" id="comment-7"><p>Reader</p></article>') == "Body"
+    assert text('<article class="post commentary"><p>Body</p><article class="comment-body"><p>Reader</p></article></article>') == "Body"
+
+
+def test_renamed_articles_give_the_same_text(spark):
+    """On the given pages nothing hangs on the article tag: renamed, the counts and rules give the same text."""
+    from pyspark.sql import functions as F
+
+    given = table(spark, SF, "pages")
+    renamed = given.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    rows = lambda df: {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert rows(renamed) == rows(given)
+
+
 def test_broken_pages_in_linear_time():
     import time
 
