@@ -36,30 +36,33 @@ def least_events(min_persist: int) -> int:
     return min_persist + 2
 
 
-# Detectors: of an array of counts, the places and scores of its changes.
+# Detectors: of an array of counts, the places and scores of its changes. Counts are compared as integers, scaled by the
+# series' length, and divided last: equal gains are equal numbers, and a sum at the threshold doesn't exceed it.
 
 
 def ks_gains(v: np.ndarray) -> np.ndarray:
     """The two-sample KS distance of v[:k] and v[k:] for k = 1 .. len - 1."""
     below = np.cumsum(v[:, None] <= np.unique(v)[None, :], axis=0)
     k = np.arange(1, len(v))
-    return np.abs(below[:-1] / k[:, None] - (below[-1] - below[:-1]) / (len(v) - k)[:, None]).max(axis=1)
+    return np.abs(below[:-1] * len(v) - below[-1] * k[:, None]).max(axis=1) / (k * (len(v) - k))
 
 
 def mean_shift_gains(v: np.ndarray) -> np.ndarray:
     """k (n - k) / n times the squared difference of the means of v[:k] and v[k:], for k = 1 .. len - 1."""
     k, left = np.arange(1, len(v)), np.cumsum(v)[:-1]
-    return k * (len(v) - k) / len(v) * (left / k - (v.sum() - left) / (len(v) - k)) ** 2
+    apart = left * len(v) - v.sum() * k
+    return apart * apart / (len(v) * k * (len(v) - k))
 
 
 def cusum_alarms(v: np.ndarray, drift: float, threshold: float) -> list[tuple[int, float]]:
     """(place, signed score) of two-sided CUSUM alarms against the mean; an alarm resets both sums."""
     up = down = 0.0
     out = []
-    for i, x in enumerate((v - v.mean()).tolist()):
+    n, drift, threshold = len(v), drift * len(v), threshold * len(v)
+    for i, x in enumerate((v * n - v.sum()).tolist()):
         up, down = max(0.0, up + x - drift), max(0.0, down - x - drift)
         if up > threshold or down > threshold:
-            out.append((i, up if up > threshold else -down))
+            out.append((i, (up if up > threshold else -down) / n))
             up = down = 0.0
     return out
 
@@ -71,7 +74,7 @@ def cuts(v: np.ndarray, gains, min_size: int, min_gain: float) -> list[tuple[int
         lo, hi = todo.pop()
         if hi - lo < 2 * min_size:
             continue
-        g = np.round(gains(v[lo:hi])[min_size - 1 : hi - lo - min_size], 12)  # equal gains must be equal numbers
+        g = gains(v[lo:hi])[min_size - 1 : hi - lo - min_size]
         best = int(g.argmax())
         if g[best] > min_gain:
             cut = lo + min_size + best

@@ -64,10 +64,10 @@ def shift_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return shifts.refusals(s, shifts.bucketed(s), 60, 29).select(*shifts.KEYS, "observed", "required")
 
 
-@query(f"""with recursive {STREAMS}, p as (select *, sum(n) over (partition by case_id, subject_id order by i) t from s union all select distinct case_id, subject_id, null, 0, null, null, 0, m, len, 0 from s),
+@query(f"""with recursive {STREAMS}, p as (select *, cast(sum(n) over (partition by case_id, subject_id order by i) as bigint) t from s union all select distinct case_id, subject_id, null, 0, null, null, 0, m, len, 0 from s),
 seg as (select case_id, subject_id, 0::bigint lo, len hi, null::double gain from s where i = 1 and len >= 6 union all
  select case_id, subject_id, u.lo, u.hi, u.gain from (select case_id, subject_id, unnest([{{'lo': lo, 'hi': -b.k, 'gain': null}}, {{'lo': -b.k, 'hi': hi, 'gain': b.g}}]) u from
-  (select seg.case_id, seg.subject_id, seg.lo, seg.hi, max({{'g': round((c.i - seg.lo) * (seg.hi - c.i) / (seg.hi - seg.lo) * ((c.t - x.t) / (c.i - seg.lo) - (y.t - c.t) / (seg.hi - c.i)) ** 2, 9), 'k': -c.i}}) b from seg join p x on x.case_id = seg.case_id and x.subject_id = seg.subject_id and x.i = seg.lo join p y on y.case_id = seg.case_id and y.subject_id = seg.subject_id and y.i = seg.hi join p c on c.case_id = seg.case_id and c.subject_id = seg.subject_id and c.i between seg.lo + 3 and seg.hi - 3 group by all) where b.g > 2.0)),
+  (select seg.case_id, seg.subject_id, seg.lo, seg.hi, max({{'g': (((c.t - x.t) * (seg.hi - seg.lo) - (y.t - x.t) * (c.i - seg.lo)) * 1e0::double) * ((c.t - x.t) * (seg.hi - seg.lo) - (y.t - x.t) * (c.i - seg.lo)) / ((seg.hi - seg.lo) * (c.i - seg.lo) * (seg.hi - c.i)), 'k': -c.i}}) b from seg join p x on x.case_id = seg.case_id and x.subject_id = seg.subject_id and x.i = seg.lo join p y on y.case_id = seg.case_id and y.subject_id = seg.subject_id and y.i = seg.hi join p c on c.case_id = seg.case_id and c.subject_id = seg.subject_id and c.i between seg.lo + 3 and seg.hi - 3 group by all) where b.g > 2.0)),
 cut as (select case_id, subject_id, lo, max(gain) gain from seg group by all),
 d as (select *, row_number() over w - 1 idx, coalesce(lead(lo) over w, (select max(len) from s where s.case_id = cut.case_id and s.subject_id = cut.subject_id)) up from cut window w as (partition by case_id, subject_id order by lo))
 select d.case_id, d.subject_id, cast(idx as int) as index, round(max(gain), 6) gain, min(b) first_bucket, max(b) last_bucket, cast(count(*) as int) buckets, round(avg(n), 6) mean, max(n) peak, cast(sum(n) as bigint) total from d join s on s.case_id = d.case_id and s.subject_id = d.subject_id and s.i > d.lo and s.i <= d.up group by d.case_id, d.subject_id, idx""")
