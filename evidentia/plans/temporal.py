@@ -24,9 +24,11 @@ c as (select case_id, subject_id, date_trunc('day', observed_at) b, count(*) n,
 g as (select case_id, subject_id, unnest(generate_series(min(b), max(b), interval 1 day)) b from c group by 1, 2),
 s as (select g.case_id, g.subject_id, cast(g.b as timestamp) b, coalesce(n, 0) n, lo, hi, row_number() over w i, avg(coalesce(n, 0)) over (partition by g.case_id, g.subject_id) m, count(*) over (partition by g.case_id, g.subject_id) len from g left join c on c.case_id = g.case_id and c.subject_id = g.subject_id and c.b = g.b window w as (partition by g.case_id, g.subject_id order by g.b))"""
 
-CUSUM = """r as (select case_id, subject_id, cast(0 as bigint) i, 0.0::double up, 0.0::double down, 0.0::double hit from s where i = 1
- union all select s.case_id, s.subject_id, s.i, case when greatest(0, r.up + n - m - 1) > 5 or greatest(0, r.down - (n - m) - 1) > 5 then 0 else greatest(0, r.up + n - m - 1) end, case when greatest(0, r.up + n - m - 1) > 5 or greatest(0, r.down - (n - m) - 1) > 5 then 0 else greatest(0, r.down - (n - m) - 1) end,
-  case when greatest(0, r.up + n - m - 1) > 5 then greatest(0, r.up + n - m - 1) when greatest(0, r.down - (n - m) - 1) > 5 then -greatest(0, r.down - (n - m) - 1) else 0 end from r join s on s.case_id = r.case_id and s.subject_id = r.subject_id and s.i = r.i + 1),
+#: Sums and limits times the length of the series, so that all of them are integers.
+CUSUM = """u as (select case_id, subject_id, i, len, cast(n * len - sum(n) over (partition by case_id, subject_id) as bigint) x from s),
+r as (select case_id, subject_id, cast(0 as bigint) i, cast(0 as bigint) up, cast(0 as bigint) down, 0.0::double hit from u where i = 1
+ union all select case_id, subject_id, i, case when up > 5 * len or down > 5 * len then 0 else up end, case when up > 5 * len or down > 5 * len then 0 else down end, case when up > 5 * len then up / len when down > 5 * len then -down / len else 0 end
+  from (select u.case_id, u.subject_id, u.i, u.len, greatest(0, r.up + x - len) up, greatest(0, r.down - x - len) down from r join u on u.case_id = r.case_id and u.subject_id = r.subject_id and u.i = r.i + 1)),
 hits as (select r.case_id, r.subject_id, r.i, r.hit from r join (select distinct case_id, subject_id from s where len >= 6) using (case_id, subject_id) where hit <> 0)"""
 
 #: The state held so far, from event to event: a change needs the same value twice more.
@@ -37,8 +39,8 @@ select k.case_id, k.subject_id, k.i, case when k.v <> h.held and k.v1 = k.v and
 
 @query(f"""with recursive {STREAMS}, {CUSUM},
 x as (select h.case_id, h.subject_id, h.i pos, h.hit, s.* exclude (case_id, subject_id) from hits h join s on s.case_id = h.case_id and s.subject_id = h.subject_id),
-f as (select x.case_id, x.subject_id, x.pos, y.n v, count(*) filter (where x.n <= y.n and x.i < x.pos) / nullif(count(*) filter (where x.i < x.pos), 0) fl, count(*) filter (where x.n <= y.n and x.i >= x.pos) / count(*) filter (where x.i >= x.pos) fr from x join (select distinct case_id, subject_id, pos, n from x) y on y.case_id = x.case_id and y.subject_id = x.subject_id and y.pos = x.pos group by all),
-dist as (select case_id, subject_id, pos, max(abs(fl - fr)) d from f group by all)
+f as (select x.case_id, x.subject_id, x.pos, y.n v, count(*) filter (where x.n <= y.n and x.i < x.pos) bl, count(*) filter (where x.i < x.pos) nl, count(*) filter (where x.n <= y.n and x.i >= x.pos) br, count(*) filter (where x.i >= x.pos) nr from x join (select distinct case_id, subject_id, pos, n from x) y on y.case_id = x.case_id and y.subject_id = x.subject_id and y.pos = x.pos group by all),
+dist as (select case_id, subject_id, pos, max(abs(bl * nr - br * nl) / nullif(nl * nr, 0)) d from f group by all)
 select case_id, subject_id, max(b) filter (where i = pos) changed_at, round(abs(max(hit)), 6) score, case when max(hit) > 0 then 'increase' else 'decrease' end direction, round(max(d), 6) distance, cast(sum(n) filter (where i < pos) as bigint) events_before, cast(sum(n) filter (where i >= pos) as bigint) events_after, round(avg(n) filter (where i < pos), 6) mean_before, round(avg(n) filter (where i >= pos), 6) mean_after, max(hi) filter (where i < pos) last_before, min(lo) filter (where i >= pos) first_after
 from x join dist using (case_id, subject_id, pos) group by case_id, subject_id, pos""")
 def activity_shifts(spark: SparkSession, sf: str) -> DataFrame:
