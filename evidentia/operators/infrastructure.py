@@ -15,6 +15,9 @@ WEIGHTS = {"certificate": 0.30, "content": 0.25, "technology": 0.15, "http": 0.1
 STRONG = {"certificate": 0.9, "content": 0.8, "http": 0.9}
 OVERALL = 0.6
 
+#: Rows of all groups together for each block that a group's pairs are dealt into, on either side.
+SUPPLIERS_A_BLOCK = 5_000
+
 
 def parse(raw: DataFrame, column: str = "payload") -> DataFrame:
     """The typed record and, for a payload without identity, subject or window, what is missing."""
