@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.functions.scores import cosine, dice, jaccard, levenshtein_similarity
+from evidentia.functions.scores import dice, jaccard, levenshtein_similarity
+from evidentia.operators import blocks
 from evidentia.operators import search as S
-from evidentia.operators.relational import against
 from evidentia.plans.registry import query
 from evidentia.sources.tables import table
 
@@ -69,9 +69,7 @@ def tfidf_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def embedding_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """For every twentieth vector, the five nearest of all others."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    p = against(e, e.filter("vec_id % 20 = 0")).filter("q.vec_id <> vec_id").select(F.col("q.vec_id").alias("l"), F.col("vec_id").alias("r"), F.round(cosine(F.col("q.embedding"), F.col("embedding")), 9).alias("c"))
-    w = Window.partitionBy("l").orderBy(F.desc("c"), "r")
-    return p.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5").select("l", "r", "rank")
+    return blocks.beside(e, F.col("vec_id") % 20 == 0, "vec_id", blocks.embeddings, blocks.cosines, 9, most=5).select("l", "r", "rank")
 
 
 @query("select min(doc_id) representative, count(*) n, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) hash from documents group by 3 having count(*) > 1")
