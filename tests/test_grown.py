@@ -24,3 +24,8 @@ def test_a_nations_pairs_in_cells(spark, monkeypatch):
     monkeypatch.setattr(infrastructure, "SUPPLIERS_A_BLOCK", 30)
     sf = "/root/testdata/sf0.01"
     assert difference(connect(sf), catalog.oracle_sql()["infra_candidates"], catalog.queries()["infra_candidates"](spark, sf)) == ""
+
+
+def test_flows_need_no_window(spark):
+    q = catalog.queries()["flow_edges"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in q._jdf.queryExecution().optimizedPlan().toString()
