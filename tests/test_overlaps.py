@@ -30,3 +30,11 @@ def test_pairs_are_dealt_over_cells(spark, monkeypatch):
     assert difference(connect(sf), catalog.oracle_sql()["interval_overlap_join"], q(spark, sf)) == ""
     tasks = [r["count"] for r in q(spark, sf).groupBy(F.spark_partition_id()).count().collect()]
     assert max(tasks) < sum(tasks) / 10
+
+
+def test_few_cells_whatever_the_pairs(spark, monkeypatch):
+    """A bucket's cells were as many as pairs asked for, each with a copy of its rows."""
+    monkeypatch.setattr(relational, "PAIRS_A_CELL", 1)
+    d = spark.range(300).selectExpr("id", "timestamp_ntz'2024-01-02' as start", "timestamp_ntz'2024-01-02' + make_dt_interval(0, cast(id % 5 as int)) as end")
+    got = relational.overlap_join(d, d)
+    assert got.count() == 300 * 300 and got.rdd.getNumPartitions() <= 2 * 2 * 2 * relational.CELLS_A_CORE * spark.sparkContext.defaultParallelism
